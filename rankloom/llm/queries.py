@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, mixing, quality, secrets, sharding, substrings
+from . import ann, chat, lines, mixing, pieces, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_secret_scans": secrets.op8_secret_scans,
+    "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_sharding": sharding.op10_sharding,
 }
 
