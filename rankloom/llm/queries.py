@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, lines, mixing, pieces, quality, secrets, sharding, substrings
+from . import ann, chat, lines, mixing, neardup, pieces, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_sentencepiece": pieces.op4_sentencepiece,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op7_chat_formatting": chat.SQL}
