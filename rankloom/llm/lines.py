@@ -71,7 +71,8 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mi
     are never dropped and count for none. ``keep_runs`` are the bitmap's run lengths, kept first.
     Other columns pass through. No rows: no rows.
     """
-    lines = lines_of(docs.filter(F.col(key).isNotNull()), key, text)
+    # Hashes without texts, read three times below: sampled for the ranges, dealt, joined.
+    lines = cut(lines_of(docs.filter(F.col(key).isNotNull()), key, text))
     repeated = cut(repeated_lines(lines, min_docs))
     hits = lines.select("doc", "h1", "h2").join(repeated, ["h1", "h2"]).filter(F.col("doc") < F.col("last"))
     drops = cut(hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops")))
@@ -104,7 +105,7 @@ def kept_text(text: Column, runs: Column) -> Column:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = keep_bitmaps(docs)
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), F.concat_ws(",", F.col("keep_runs").cast("array<string>")).alias("keep_runs"))
 
 
 #: DuckDB: the same by window functions over the lines' whole keys.
@@ -115,8 +116,13 @@ e AS (SELECT doc_id, unnest(ls) AS said, generate_subscripts(ls, 1) AS i FROM s)
 k AS (SELECT doc_id, i, said,
   translate(trim(said, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
 r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-j AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id < r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+j AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id < r.last AS gone FROM k LEFT JOIN r ON k.key = r.key),
+g AS (SELECT doc_id, gone, i, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS island FROM j),
+u AS (SELECT doc_id, gone, min(i) AS first, count(*) AS n FROM g GROUP BY doc_id, gone, island),
+b AS (SELECT doc_id, CASE WHEN arg_min(gone, first) THEN '0,' ELSE '' END || string_agg(n::VARCHAR, ',' ORDER BY first)
+  || CASE WHEN arg_max(gone, first) THEN ',0' ELSE '' END AS keep_runs FROM u GROUP BY doc_id),
+o AS (SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM j GROUP BY doc_id
+  FROM j GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, kept_sha256, keep_runs FROM o JOIN b USING (doc_id)
 """
