@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,9 +99,12 @@ def _survivors(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _same(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Only texts of the class that was asked for: a key may have other texts too."""
+    """Only texts of the class that was asked for (a key may have other texts too), as
+    their words, compressed for the checkpoint."""
     for batch in rows:
-        yield batch[[bytes(s) == hashlib.sha256(b" ".join(words_of(t))).digest() for s, t in zip(batch["said"], batch["text"], strict=True)]]
+        words = [b" ".join(words_of(t)) for t in batch["text"]]
+        batch["text"] = [zlib.compress(w, 1) for w in words]
+        yield batch[[bytes(s) == hashlib.sha256(w).digest() for s, w in zip(batch["said"], words, strict=True)]]
 
 
 def _windows(width: int, anchor: int):
@@ -110,7 +114,7 @@ def _windows(width: int, anchor: int):
         n, out, size = 0, [], 0
         for batch in rows:
             for said, text, blob in zip(batch["said"], batch["text"], batch["places"], strict=True):
-                hashes = word_hashes(words_of(text))
+                hashes = word_hashes(zlib.decompress(text).split())
                 anchors = anchors_of(hashes, width, anchor)
                 live = np.zeros(len(hashes), np.bool_)
                 live[np.frombuffer(blob, np.int32)] = True
@@ -217,7 +221,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     scanned = cut(rows.mapInPandas(_scan(width, anchor), _ROW))
-    named = scanned.select("keys", "said", "words").mapInPandas(_documents, "key long, said binary, n_words int")
+    named = cut(scanned.select("keys", "said", "words").mapInPandas(_documents, "key long, said binary, n_words int"))
     classes = cut(named.groupBy("said").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")))
     total = scanned.agg(F.sum(F.octet_length("hashes")) / 8).first()[0] or 0
     again = repeated_of(scanned, int(total))
@@ -227,16 +231,19 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     alive = alive.join(first, (alive["said"] == first["_said"]) & alive["key"].eqNullSafe(first["_first"])).dropDuplicates(["said"]).select("key", "said", "places")
     alive = cut(alive)
     joined = rows.withColumnRenamed("key", "_key").join(alive.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("key")))
-    texts = cut(joined.select("said", "text", "places").mapInPandas(_same, "said binary, text string, places binary"))
+    texts = cut(joined.select("said", "text", "places").mapInPandas(_same, "said binary, text binary, places binary"))
+    del scanned, again, alive, joined, first
     tidy(spark)
     state = _level(cut(texts.mapInPandas(_windows(width, anchor), _LEVEL)))
+    tidy(spark)
     found, lengths, size = None, [], width
     while state is not None:
-        spans = state.mapInPandas(_spans, "said binary, starts binary")
+        spans = cut(state.mapInPandas(_spans, "said binary, starts binary"))
         found = spans if found is None else found
-        lengths.append(spans.select("said", F.lit(size).cast("long").alias("longest")))
-        longer = cut(state.mapInPandas(_doubled(size), _LEVEL))
-        state, size = _level(longer), 2 * size
+        lengths.append(cut(spans.select("said", F.lit(size).cast("long").alias("longest"))))
+        state = cut(state.mapInPandas(_doubled(size), _LEVEL))
+        tidy(spark)
+        state, size = _level(state), 2 * size
         tidy(spark)
     if found is None:
         found = spark.createDataFrame([], "said binary, starts binary")
@@ -250,7 +257,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
         for batch in batches:
             out = []
             for said, body, blob in zip(batch["said"], batch["text"], batch["starts"], strict=True):
-                words = words_of(body)
+                words = zlib.decompress(body).split()
                 gone = cover(np.frombuffer(blob, np.int32), width, len(words))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
