@@ -25,7 +25,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: What an unknown character costs below the least score.
 _PENALTY = 10.0
 #: Words whose encodings a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Cells (words x characters) of a lattice worked on at once.
 CELLS = 150_000
 #: Longer words are merged with a heap, one by one.
@@ -195,7 +195,7 @@ class Lattice:
         return out
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """edges[n - 1, w, p]: the piece that is the n characters of word w from p, or -1;
+        """edges[n - 1, p, w]: the piece that is the n characters of word w from p, or -1;
         and the words' lengths. A character that is no piece is an edge of its own."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max())
@@ -203,15 +203,15 @@ class Lattice:
         row = np.repeat(np.arange(len(words)), lengths)
         col = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         left = lengths[row] - col
-        out = np.full((min(self.table.max_chars, width), len(words), width), -1, np.int32)
+        out = np.full((min(self.table.max_chars, width), width, len(words)), -1, np.int32)
         at, h = np.arange(len(codes)), np.full(len(codes), _SEED)
         for n in range(out.shape[0]):
             h = self._step(h, codes[at + n])
             found = self._join(h)
             hit = found >= 0
-            out[n, row[at[hit]], col[at[hit]]] = found[hit]
+            out[n, col[at[hit]], row[at[hit]]] = found[hit]
             if n == 0:
-                out[0, row[at[~hit]], col[at[~hit]]] = self.unknown
+                out[0, col[at[~hit]], row[at[~hit]]] = self.unknown
             live = (found != -2) & (left[at] > n + 1)
             at, h = at[live], h[live]
             if not len(at):
@@ -223,23 +223,25 @@ class Lattice:
 
         Of equal paths the one whose last piece starts first is taken.
         """
-        spans, words, width = edges.shape
-        best = np.full((words, width + 1), -np.inf)
-        back = np.zeros((words, width + 1), np.int32)
-        best[:, 0] = 0
+        spans, width, words = edges.shape
+        best = np.full((width + 1, words), -np.inf)
+        back = np.zeros((width + 1, words), np.int32)
+        best[0] = 0
         for end in range(1, width + 1):
             for n in range(min(spans, end), 0, -1):
-                piece = edges[n - 1, :, end - n]
-                score = np.where(piece >= 0, best[:, end - n] + self.scores[piece], -np.inf)
-                better = score > best[:, end]
-                best[better, end] = score[better]
-                back[better, end] = n
-        return back, best[np.arange(words), lengths]
+                has = np.flatnonzero(edges[n - 1, end - n] >= 0)
+                if not len(has):
+                    continue
+                score = best[end - n, has] + self.scores[edges[n - 1, end - n, has]]
+                better = score > best[end, has]
+                best[end, has[better]] = score[better]
+                back[end, has[better]] = n
+        return back.T, best[lengths, np.arange(words)]
 
     def merges(self, edges: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """ends[w, p]: whether a piece of word w ends at p, by repeated merging of the
         adjacent pair whose union scores best, the first of equals."""
-        spans, words, width = edges.shape
+        spans, width, words = edges.shape
         cut = np.full((words, width + 2), -1, np.int64)
         cut[:, : width + 1] = np.where(np.arange(width + 1) <= lengths[:, None], np.arange(width + 1), -1)
         ends = np.zeros((words, width + 1), np.bool_)
@@ -252,7 +254,7 @@ class Lattice:
             a, c = state[:, :-2], state[:, 2:]
             n = c - a
             ok = (c > 0) & (n <= spans)
-            piece = edges[np.where(ok, n - 1, 0), live[:, None], np.where(ok, a, 0)]
+            piece = edges[np.where(ok, n - 1, 0), np.where(ok, a, 0), live[:, None]]
             score = np.where(ok & (piece >= 0), scores[piece], -np.inf)
             pick = score.argmax(axis=1)
             go = score[np.arange(len(live)), pick] > -np.inf
@@ -335,7 +337,7 @@ class Lattice:
         row, end = np.nonzero(ends)
         first = np.concatenate([[True], row[1:] != row[:-1]])
         start = np.where(first, 0, np.concatenate([[0], end[:-1]]))
-        piece = edges[end - start - 1, row, start]
+        piece = edges[end - start - 1, start, row]
         bounds = np.searchsorted(row, np.arange(len(some) + 1))
         odd = np.zeros(len(some), np.bool_)
         odd[row[piece == self.unknown]] = True
@@ -359,21 +361,25 @@ class Encoder:
     def __init__(self, table: PieceTable):
         self.table, self.lattice = table, Lattice(table)
         self.split = re.compile(table.word_pattern()).findall
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
+        #: By word: minus the pieces on its Viterbi path, then its ids.
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """(ids as int32 bytes, pieces on the Viterbi paths) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """(ids, pieces on the Viterbi paths) of each text."""
         words = [self.split(self.table.normalized(t)) for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids, self.counts = {}, {}
-        new = list({w for ws in words for w in ws if w not in self.ids})
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        new = list(set().union(*words).difference(self.known))
         if new:
             ids, counts = self.lattice.encode(new)
-            self.ids.update(zip(new, ids, strict=True))
-            self.counts.update(zip(new, counts, strict=True))
-        get, count = self.ids.__getitem__, self.counts.__getitem__
-        return [(b"".join(map(get, ws)), sum(map(count, ws))) for ws in words]
+            heads = np.negative(np.array(counts, np.int32)).tobytes()
+            self.known.update((w, heads[4 * i : 4 * i + 4] + x) for i, (w, x) in enumerate(zip(new, ids, strict=True)))
+        out = []
+        for ws in words:
+            found = np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.int32)
+            heads = found < 0
+            out.append((found[~heads], -int(found[heads].sum())))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -417,7 +423,7 @@ def encode(docs: DataFrame, *, text: str = "text", table: PieceTable | None = No
             for a in range(0, len(batch), texts_at_once):
                 part = batch.iloc[a : a + texts_at_once]
                 texts = part["_text"].tolist()
-                out = [(np.frombuffer(ids, np.int32), n) for ids, n in encoder.encode(texts)]
+                out = encoder.encode(texts)
                 trip = [table.decode(ids.tolist(), decoder) == t for (ids, _), t in zip(out, texts, strict=True)]
                 done = part[keep].copy()
                 done["n_pieces"] = [len(ids) for ids, _ in out]
