@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to")))
         while True:
             after = step.select(F.col("v").alias("_v"), F.col("to").alias("_to"))
-            if not step.join(after, F.col("to") == F.col("_v")).filter("_to <> to").head(1):
+            further = cut(step.join(after, F.col("to") == F.col("_v")).select("v", "to", "_to"))
+            step = further.select("v", F.col("_to").alias("to"))
+            if not further.filter("_to <> to").head(1):
                 break
-            step = cut(step.join(after, F.col("to") == F.col("_v")).select("v", F.col("_to").alias("to")))
         maps.append(step)
         tidy(edges.sparkSession)
         ends = lambda c, step=step: step.select(F.col("v").alias(c), F.col("to").alias(f"_{c}"))
