@@ -23,12 +23,18 @@ def session(master: str = "local[8]", **settings: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, which outlives executors."""
-    context = df.sparkSession.sparkContext
+    """``df`` computed once into the shared checkpoint folder, which outlives executors.
+
+    Its plan carries no size estimate: rounds of joins would multiply estimates without
+    end, and adaptive execution measures sizes itself.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
