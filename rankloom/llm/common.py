@@ -35,10 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder.
 
     The files survive lost executors, and go when the result is garbage and
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set. A checkpoint keeps its
+    plan's size estimate, which joins multiply: after some rounds of joins it is a number
+    of a million digits in the driver. So the rows are given a plan without estimates;
+    adaptive execution goes by the sizes it measures.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], salt: int = 32) -> DataFrame:

@@ -156,6 +156,7 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
         centres = members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "centre")
         near = cut(members.join(cut(centres), "bucket").filter("cid <> centre").select("bucket", "band", F.col("cid").alias("a"), F.col("centre").alias("b")))
         known = cut(estimated(near.select("a", "b").distinct(), sigs))
+        tidy(sigs.sparkSession)
         joined = known.filter(F.col("est") >= PASS).select("a", "b")
         edges = joined if edges is None else edges.unionByName(joined)
         if not known.filter(F.col("est") < PASS).head(1):
@@ -166,12 +167,15 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
         left = cut(apart.select("bucket", "band", F.col("a").alias("cid")).join(sizes, "bucket"))
         few = left if depth == DEPTH - 1 else left.filter(F.col("n") <= PAIRS)
         pairs = few.select("bucket", F.col("cid").alias("a")).join(few.select(F.col("bucket").alias("_k"), F.col("cid").alias("b")), (F.col("bucket") == F.col("_k")) & (F.col("a") < F.col("b")))
-        close = estimated(pairs.select("a", "b").distinct(), sigs).filter(F.col("est") >= APART)
-        edges = edges.unionByName(close.select("a", "b"))
+        # Cut, so that the union of all depths stays a small plan for the driver.
+        close = cut(estimated(pairs.select("a", "b").distinct(), sigs).filter(F.col("est") >= APART).select("a", "b"))
+        edges = edges.unionByName(close)
+        tidy(sigs.sparkSession)
         many = left.filter(F.col("n") > PAIRS)
         if depth == DEPTH - 1 or not many.head(1):
             break
         again = many.select("bucket", "band", F.col("cid").alias("_c")).join(base.select("cid", F.col("band").alias("_band"), F.col("bucket").alias("_bucket")), (F.col("_c") == F.col("cid")) & (F.col("_band") > F.col("band")))
+        tidy(sigs.sparkSession)
         members = cut(again.select("cid", F.col("_band").alias("band"), F.xxhash64("bucket", "_bucket").alias("bucket")))
     return edges
 
@@ -322,7 +326,8 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", leas
     texts, the one that hashes least; of equal rows, one). Texts without words all stay."""
     found = near_duplicates(docs, key=key, text=text, least=least)
     wordless = F.col("n_words") == 0
-    own = found.filter(wordless | F.col("class_id").eqNullSafe(F.col(key)))
+    own = cut(found.filter(wordless | F.col("class_id").eqNullSafe(F.col(key))).select(key, "class_id", "n_words", "text_hash"))
+    tidy(docs.sparkSession)
     one = own.groupBy("class_id", wordless.alias("_none"), F.when(wordless, F.col("text_hash")).alias("_w")).agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("m"))
     rows = own.groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     stay = one.select("m.k", "m.h").join(rows, F.col("k").eqNullSafe(F.col("_k")) & F.col("h").eqNullSafe(F.col("_h"))).select("_k", "_h", "_n")
