@@ -25,7 +25,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: What an unknown character costs below the least score.
 _PENALTY = 10.0
 #: Words whose encodings a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 #: Cells (words x characters) of a lattice worked on at once.
 CELLS = 150_000
 #: Longer words are merged with a heap, one by one.
