@@ -313,7 +313,9 @@ class Lattice:
         a = 0
         while a < len(order):
             b = a + 1
-            while b < len(order) and (b - a + 1) * len(words[order[b]]) <= CELLS:
+            # Longer words than LONG have chunks of their own: they are merged otherwise.
+            long = len(words[order[a]]) > LONG
+            while b < len(order) and (len(words[order[b]]) > LONG) == long and (b - a + 1) * len(words[order[b]]) <= CELLS:
                 b += 1
             self._chunk(order[a:b], words, ids, counts)
             a = b
@@ -344,7 +346,7 @@ class Lattice:
         blob = piece.astype(np.int32).tobytes()
         for k, i in enumerate(which):
             counts[i] = int(number[k])
-            if long and lengths[k] > LONG:
+            if long:
                 ids[i] = np.array(self.merge_long(some[k]), np.int32).tobytes()
             elif odd[k]:
                 out: list[int] = []

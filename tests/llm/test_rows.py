@@ -128,6 +128,18 @@ def test_ids_equal_the_library(spark, table):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), table=table).count() == 0
 
 
+def test_a_long_word_leaves_the_others_of_its_batch_alone(table):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    common = "the house probability of unbelievable segmentation quickly mathematics disagreement"
+    texts = [common, "x" * 300, "y" * pieces.LONG + " " + "z" * (pieces.LONG - 1)]
+    encoder = pieces.Encoder(table)
+    assert [ids.tolist() for ids, _ in encoder.encode(texts)] == [library.encode(t) for t in texts]
+    # Known words are reused, so wrong ones would reach later texts.
+    assert encoder.encode([common])[0][0].tolist() == library.encode(common)
+
+
 def best_path(word, scores, unknown, longest):
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
