@@ -14,8 +14,8 @@ from ..operators.popular import MostPopular
 from ..operators.splits import first_rows, latest_split
 from ..schema import matrix
 from ..sources.tables import ORDER, clicks, table
-from .models import _KNN, _PAIRS, _SCORED, K, N, UNITS, _out, _pairs
-from .registry import BY, all_users, log, query, top
+from .models import _KNN, _PAIRS, _SCORED, K, N, TENTH, THIRD, UNITS, _out, _pairs
+from .registry import BY, all_users, log, query, top, whole_too
 
 #: Two models' lists in SQL: a (neighbours) and b (popularity), 20 items each.
 _LISTS = _KNN.format(n=N) + _SCORED + f""", a AS ({top(20)}),
@@ -44,16 +44,16 @@ def rrf_fusion(spark, d):
     return ranking.top_k(fused, K).select("user_id", "rank", "item_id", F.round("score", 9).alias("score"))
 
 
-@query(_KNN.format(n=N) + _SCORED.replace("WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)", "") + f""", a AS ({top(20)}),
+@whole_too(_KNN.format(n=N) + _SCORED.replace("WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)", "") + f""", a AS ({top(20)}),
 pop AS (SELECT item_id, count(*)::DOUBLE AS pop FROM r GROUP BY 1),
 b AS (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS rank FROM pop QUALIFY rank <= 20)""" + _PAIRS + """
 SELECT p.user_id, p.item_id, CASE WHEN p.item_id IN (SELECT item_id FROM items) THEN
   round(coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(1 / (60.0::DOUBLE + b.rank), 0), 9) END AS score
-FROM pairs p LEFT JOIN a ON a.user_id = p.user_id AND a.item_id = p.item_id LEFT JOIN b ON b.item_id = p.item_id""")
-def rrf_predict(spark, d):
+FROM pairs p LEFT JOIN a ON a.user_id = p.user_id AND a.item_id = p.item_id LEFT JOIN b ON b.item_id = p.item_id""", TENTH)
+def rrf_predict(spark, d, who):
     x = log(spark, d)
     model = compose.ReciprocalRankFusion([ItemKNN(N, units=UNITS), MostPopular()], n_retrieved=20).fit(x)
-    return model.predict(_pairs(x)).select("user_id", "item_id", F.round("score", 9).alias("score"))
+    return model.predict(_pairs(x, who)).select("user_id", "item_id", F.round("score", 9).alias("score"))
 
 
 #: Queries: all users and a thousand unknown ones.
@@ -145,16 +145,16 @@ def stable_hash(spark, d):
 # Features.
 
 
-@query(_PAIRS + " SELECT user_id, item_id, p_size::DOUBLE AS p_size, p_retailprice FROM pairs LEFT JOIN part ON p_partkey = item_id")
-def join_static(spark, d):
+@whole_too(_PAIRS + " SELECT user_id, item_id, p_size::DOUBLE AS p_size, p_retailprice FROM pairs LEFT JOIN part ON p_partkey = item_id", TENTH)
+def join_static(spark, d, who):
     values = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return features.JoinStatic("item", values).fit(None).transform(_pairs(log(spark, d)))
+    return features.JoinStatic("item", values).fit(None).transform(_pairs(log(spark, d), who))
 
 
-@query(_PAIRS + " SELECT user_id, item_id, (user_id % 7)::DOUBLE * 2 AS twice FROM pairs")
-def join_dynamic_distinct(spark, d):
+@whole_too(_PAIRS + " SELECT user_id, item_id, (user_id % 7)::DOUBLE * 2 AS twice FROM pairs", TENTH)
+def join_dynamic_distinct(spark, d, who):
     made = features.JoinDynamic(["user_id"], lambda keys: pd.DataFrame({"twice": (keys["user_id"] % 7).astype(float) * 2}), "twice double")
-    return made.transform(_pairs(log(spark, d)))
+    return made.transform(_pairs(log(spark, d), who))
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_id, value FROM events), p AS (SELECT o_orderkey, o_custkey AS user_id, o_orderdate AS time FROM orders)
@@ -165,19 +165,19 @@ def asof_lookup(spark, d):
     return features.as_of(orders, events, "user_id", ["event_id", "value"]).select("o_orderkey", "user_id", F.col("event_id").cast("double").alias("event_id"), "value")
 
 
-@query(_PAIRS + """, u AS (SELECT user_id, count(*)::DOUBLE AS c FROM log GROUP BY 1), i AS (SELECT item_id, count(*)::DOUBLE AS c FROM log GROUP BY 1)
-SELECT p.user_id, p.item_id, coalesce(u.c, 0) AS user_count, coalesce(i.c, 0) AS item_count FROM pairs p LEFT JOIN u USING (user_id) LEFT JOIN i ON i.item_id = p.item_id""")
-def interaction_counts(spark, d):
+@whole_too(_PAIRS + """, u AS (SELECT user_id, count(*)::DOUBLE AS c FROM log GROUP BY 1), i AS (SELECT item_id, count(*)::DOUBLE AS c FROM log GROUP BY 1)
+SELECT p.user_id, p.item_id, coalesce(u.c, 0) AS user_count, coalesce(i.c, 0) AS item_count FROM pairs p LEFT JOIN u USING (user_id) LEFT JOIN i ON i.item_id = p.item_id""", TENTH)
+def interaction_counts(spark, d, who):
     x = log(spark, d)
-    out = features.InteractionCounts("user").fit(x).transform(_pairs(x))
+    out = features.InteractionCounts("user").fit(x).transform(_pairs(x, who))
     return features.InteractionCounts("item").fit(x).transform(out).select("user_id", "item_id", "user_count", "item_count")
 
 
-@query(_PAIRS + """, pop AS (SELECT item_id, count(*)::DOUBLE AS pop FROM r GROUP BY 1)
-SELECT p.user_id, p.item_id, pop AS model_score FROM pairs p LEFT JOIN pop USING (item_id)""")
-def recommender_scores(spark, d):
+@whole_too(_PAIRS + """, pop AS (SELECT item_id, count(*)::DOUBLE AS pop FROM r GROUP BY 1)
+SELECT p.user_id, p.item_id, pop AS model_score FROM pairs p LEFT JOIN pop USING (item_id)""", TENTH)
+def recommender_scores(spark, d, who):
     x = log(spark, d)
-    return features.RecommenderScores(MostPopular()).fit(x).transform(_pairs(x)).select("user_id", "item_id", "model_score")
+    return features.RecommenderScores(MostPopular()).fit(x).transform(_pairs(x, who)).select("user_id", "item_id", "model_score")
 
 
 _SEGMENTS = """, seg AS (SELECT c_custkey AS user_id, c_mktsegment AS segment FROM customer),
@@ -188,33 +188,33 @@ shares AS (SELECT p.user_id, p.item_id, s.segment, base.g, (coalesce(c, 0) + 10.
   FROM pairs p LEFT JOIN seg s USING (user_id) LEFT JOIN base ON base.item_id = p.item_id LEFT JOIN cnt ON cnt.segment = s.segment AND cnt.item_id = p.item_id LEFT JOIN mem ON mem.segment = s.segment)"""
 
 
-@query(_PAIRS + _SEGMENTS + " SELECT user_id, item_id, round(CASE WHEN segment IS NOT NULL THEN share END, 9) AS segment_share, round(CASE WHEN segment IS NOT NULL THEN share / g END, 9) AS segment_lift FROM shares")
-def segment_popularity(spark, d):
+@whole_too(_PAIRS + _SEGMENTS + " SELECT user_id, item_id, round(CASE WHEN segment IS NOT NULL THEN share END, 9) AS segment_share, round(CASE WHEN segment IS NOT NULL THEN share / g END, 9) AS segment_lift FROM shares", TENTH)
+def segment_popularity(spark, d, who):
     x = log(spark, d)
     segments = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    out = features.SegmentPopularity(segments).fit(x).transform(_pairs(x))
+    out = features.SegmentPopularity(segments).fit(x).transform(_pairs(x, who))
     return out.select("user_id", "item_id", F.round("segment_share", 9).alias("segment_share"), F.round("segment_lift", 9).alias("segment_lift"))
 
 
-@query(_PAIRS + """, f AS (SELECT p_partkey AS item_id, (p_size % 2)::DOUBLE AS a, (p_size % 3)::DOUBLE AS b FROM part),
+@whole_too(_PAIRS + """, f AS (SELECT p_partkey AS item_id, (p_size % 2)::DOUBLE AS a, (p_size % 3)::DOUBLE AS b FROM part),
 prof AS (SELECT user_id, count(*)::DOUBLE AS n, sum(a) AS pa, sum(b) AS pb FROM log JOIN f USING (item_id) GROUP BY 1)
 SELECT p.user_id, p.item_id, round((pa * a + pb * b) / nullif((a + b) * n, 0), 9) AS profile_share,
   round((pa * a + pb * b) / nullif(sqrt(pa * pa + pb * pb) * sqrt(a * a + b * b), 0), 9) AS profile_cosine
-FROM pairs p LEFT JOIN f ON f.item_id = p.item_id LEFT JOIN prof ON prof.user_id = p.user_id""")
-def profile_affinity(spark, d):
+FROM pairs p LEFT JOIN f ON f.item_id = p.item_id LEFT JOIN prof ON prof.user_id = p.user_id""", TENTH)
+def profile_affinity(spark, d, who):
     x = log(spark, d)
     attributes = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_size") % 2).cast("double").alias("a"), (F.col("p_size") % 3).cast("double").alias("b"))
-    out = features.ProfileAffinity(attributes).fit(x).transform(_pairs(x))
+    out = features.ProfileAffinity(attributes).fit(x).transform(_pairs(x, who))
     return out.select("user_id", "item_id", F.round("profile_share", 9).alias("profile_share"), F.round("profile_cosine", 9).alias("profile_cosine"))
 
 
-@query(_PAIRS + """, i AS (SELECT item_id, count(*)::DOUBLE AS c FROM log GROUP BY 1)
-SELECT p.user_id, p.item_id, coalesce(i.c, 0) AS counts__item_count, part.p_size::DOUBLE AS part__p_size FROM pairs p LEFT JOIN i USING (item_id) LEFT JOIN part ON p_partkey = p.item_id""")
-def concat_features(spark, d):
+@whole_too(_PAIRS + """, i AS (SELECT item_id, count(*)::DOUBLE AS c FROM log GROUP BY 1)
+SELECT p.user_id, p.item_id, coalesce(i.c, 0) AS counts__item_count, part.p_size::DOUBLE AS part__p_size FROM pairs p LEFT JOIN i USING (item_id) LEFT JOIN part ON p_partkey = p.item_id""", TENTH)
+def concat_features(spark, d, who):
     x = log(spark, d)
     values = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("p_size"))
     both = features.Concat(counts=features.InteractionCounts("item"), part=features.JoinStatic("item", values)).fit(x)
-    return both.transform(_pairs(x)).select("user_id", "item_id", *both.names())
+    return both.transform(_pairs(x, who)).select("user_id", "item_id", *both.names())
 
 
 @query("SELECT p_partkey AS item_id, " + ", ".join(f"(p_brand = 'Brand#{i}')::INT::DOUBLE AS \"p_brand_Brand#{i}\"" for i in (1, 2, 3)) + " FROM part".replace("WITH", ""))
@@ -227,44 +227,44 @@ def one_hot_table(spark, d):
 _GROUPS = """, c AS (SELECT user_id AS qid, user_id, item_id, r, CASE WHEN item_id % 5 <> 0 THEN (item_id % 4)::DOUBLE END AS f FROM r WHERE user_id % 3 = 0)"""
 
 
-def _groups(spark, d) -> DataFrame:
-    r = matrix(log(spark, d)).filter("user_id % 3 = 0")
+def _groups(spark, d, who) -> DataFrame:
+    r = matrix(log(spark, d)).filter(who)
     return r.select(F.col("user_id").alias("qid"), "user_id", "item_id", "r", F.when(F.col("item_id") % 5 != 0, (F.col("item_id") % 4).cast("double")).alias("f"))
 
 
 _AVG = "CASE WHEN {v} IS NOT NULL THEN rank() OVER (PARTITION BY qid, {v} IS NULL ORDER BY {v} {way}) + (count(*) OVER (PARTITION BY qid, {v}) - 1) / 2.0::DOUBLE END"
 
 
-@query(_GROUPS + f" SELECT qid, item_id, {_AVG.format(v='f', way='DESC')} AS place FROM c")
-def avg_rank(spark, d):
-    return windows.average_rank(_groups(spark, d), ["qid"], "f", "place").select("qid", "item_id", "place")
+@whole_too(_GROUPS + f" SELECT qid, item_id, {_AVG.format(v='f', way='DESC')} AS place FROM c", THIRD)
+def avg_rank(spark, d, who):
+    return windows.average_rank(_groups(spark, d, who), ["qid"], "f", "place").select("qid", "item_id", "place")
 
 
-@query(_GROUPS + f", a AS (SELECT *, {_AVG.format(v='f', way='ASC')} AS p, count(f) OVER (PARTITION BY qid) AS n FROM c) SELECT qid, item_id, CASE WHEN n = 1 THEN CASE WHEN p IS NOT NULL THEN 0.5::DOUBLE END ELSE (p - 1) / nullif(n - 1, 0) END AS place FROM a")
-def percentile_rank(spark, d):
-    return windows.percentile_rank(_groups(spark, d), ["qid"], "f", "place").select("qid", "item_id", "place")
+@whole_too(_GROUPS + f", a AS (SELECT *, {_AVG.format(v='f', way='ASC')} AS p, count(f) OVER (PARTITION BY qid) AS n FROM c) SELECT qid, item_id, CASE WHEN n = 1 THEN CASE WHEN p IS NOT NULL THEN 0.5::DOUBLE END ELSE (p - 1) / nullif(n - 1, 0) END AS place FROM a", THIRD)
+def percentile_rank(spark, d, who):
+    return windows.percentile_rank(_groups(spark, d, who), ["qid"], "f", "place").select("qid", "item_id", "place")
 
 
-@query(_GROUPS + " SELECT qid, item_id, round(CASE WHEN stddev_pop(r) OVER w > 0 THEN (r - avg(r) OVER w) / stddev_pop(r) OVER w ELSE 0 END, 6) AS z FROM c WINDOW w AS (PARTITION BY qid)")
-def zscore_norm(spark, d):
-    return windows.zscore(_groups(spark, d), ["qid"], "r", "z").select("qid", "item_id", F.round("z", 6).alias("z"))
+@whole_too(_GROUPS + " SELECT qid, item_id, round(CASE WHEN stddev_pop(r) OVER w > 0 THEN (r - avg(r) OVER w) / stddev_pop(r) OVER w ELSE 0 END, 6) AS z FROM c WINDOW w AS (PARTITION BY qid)", THIRD)
+def zscore_norm(spark, d, who):
+    return windows.zscore(_groups(spark, d, who), ["qid"], "r", "z").select("qid", "item_id", F.round("z", 6).alias("z"))
 
 
 _RANKS = f"SELECT qid, user_id, item_id, {_AVG.format(v='r', way='DESC')} AS a, {_AVG.format(v='f', way='DESC')} AS b FROM c"
 
 
-@query(_GROUPS + f", k AS ({_RANKS}) SELECT qid, item_id, round(coalesce(1 / (60.0::DOUBLE + a), 0) + coalesce(1 / (60.0::DOUBLE + b), 0), 12) AS score FROM k")
-def rrf_ranker(spark, d):
-    out = rankers.ReciprocalRank().fit(None, ["r", "f"]).predict(_groups(spark, d))
+@whole_too(_GROUPS + f", k AS ({_RANKS}) SELECT qid, item_id, round(coalesce(1 / (60.0::DOUBLE + a), 0) + coalesce(1 / (60.0::DOUBLE + b), 0), 12) AS score FROM k", THIRD)
+def rrf_ranker(spark, d, who):
+    out = rankers.ReciprocalRank().fit(None, ["r", "f"]).predict(_groups(spark, d, who))
     return out.select("qid", "item_id", F.round("score", 12).alias("score"))
 
 
 _PCT = "CASE WHEN n_{v} = 1 THEN CASE WHEN p_{v} IS NOT NULL THEN 0.5::DOUBLE END ELSE (p_{v} - 1) / nullif(n_{v} - 1, 0) END"
 
 
-@query(_GROUPS + f""", a AS (SELECT *, {_AVG.format(v='r', way='ASC')} AS p_r, count(r) OVER (PARTITION BY qid) AS n_r, {_AVG.format(v='item_id', way='ASC')} AS p_i, count(item_id) OVER (PARTITION BY qid) AS n_i FROM c)
-SELECT qid, item_id, round((({_PCT.format(v='r')}) * 3 + ({_PCT.format(v='i')}) * 1) / 4, 9) AS score FROM a""")
-def blend_mean(spark, d):
+@whole_too(_GROUPS + f""", a AS (SELECT *, {_AVG.format(v='r', way='ASC')} AS p_r, count(r) OVER (PARTITION BY qid) AS n_r, {_AVG.format(v='item_id', way='ASC')} AS p_i, count(item_id) OVER (PARTITION BY qid) AS n_i FROM c)
+SELECT qid, item_id, round((({_PCT.format(v='r')}) * 3 + ({_PCT.format(v='i')}) * 1) / 4, 9) AS score FROM a""", THIRD)
+def blend_mean(spark, d, who):
     class Column(rankers.Ranker):
         def __init__(self, name):
             self.name = name
@@ -276,28 +276,28 @@ def blend_mean(spark, d):
             return candidates.withColumn(out, F.col(self.name).cast("double"))
 
     blend = rankers.Blend([Column("r"), Column("item_id")], blender="mean", weights=[3, 1])
-    return blend.fit(_groups(spark, d), ["r"]).predict(_groups(spark, d)).select("qid", "item_id", F.round("score", 9).alias("score"))
+    return blend.fit(_groups(spark, d, who), ["r"]).predict(_groups(spark, d, who)).select("qid", "item_id", F.round("score", 9).alias("score"))
 
 
-@query(_KNN.format(n=N) + _PAIRS + """, terms AS (SELECT p.user_id, p.item_id, r.item_id AS reason, r.r * s.w AS term FROM pairs p JOIN r ON r.user_id = p.user_id JOIN s ON s.i = r.item_id AND s.j = p.item_id),
+@whole_too(_KNN.format(n=N) + _PAIRS + """, terms AS (SELECT p.user_id, p.item_id, r.item_id AS reason, r.r * s.w AS term FROM pairs p JOIN r ON r.user_id = p.user_id JOIN s ON s.i = r.item_id AND s.j = p.item_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY abs(term) DESC, reason) AS place FROM terms)
-SELECT user_id, item_id, place, reason, round(term, 9) AS term FROM o WHERE place <= 3""")
-def history_attribution(spark, d):
+SELECT user_id, item_id, place, reason, round(term, 9) AS term FROM o WHERE place <= 3""", TENTH)
+def history_attribution(spark, d, who):
     x = log(spark, d)
-    said = explain.history_attribution(ItemKNN(N).fit(x), _pairs(x), 3)
+    said = explain.history_attribution(ItemKNN(N).fit(x), _pairs(x, who), 3)
     return said.select("user_id", "item_id", "place", "reason", F.round("term", 9).alias("term"))
 
 
-@query(_PAIRS + f""", pop AS (SELECT item_id, count(*)::DOUBLE AS pop FROM r GROUP BY 1),
+@whole_too(_PAIRS + f""", pop AS (SELECT item_id, count(*)::DOUBLE AS pop FROM r GROUP BY 1),
 scored AS (SELECT u.user_id, p.item_id, p.pop AS score FROM users u CROSS JOIN pop p WHERE p.item_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.item_id = p.item_id)),
 best AS ({top(K)})
 SELECT p.user_id, p.item_id, CASE WHEN p.item_id NOT IN (SELECT item_id FROM items) THEN 'unknown_item' WHEN p.item_id % 2 <> 0 OR r.r IS NOT NULL THEN 'excluded' WHEN b.rank IS NOT NULL THEN 'served' ELSE 'ranked_out' END AS status,
   CASE WHEN p.item_id NOT IN (SELECT item_id FROM items) THEN NULL WHEN p.item_id % 2 <> 0 THEN 'candidates' WHEN r.r IS NOT NULL THEN 'seen' END AS "by", b.rank::DOUBLE AS rank
-FROM pairs p LEFT JOIN r ON r.user_id = p.user_id AND r.item_id = p.item_id LEFT JOIN best b ON b.user_id = p.user_id AND b.item_id = p.item_id""")
-def explain_status(spark, d):
+FROM pairs p LEFT JOIN r ON r.user_id = p.user_id AND r.item_id = p.item_id LEFT JOIN best b ON b.user_id = p.user_id AND b.item_id = p.item_id""", TENTH)
+def explain_status(spark, d, who):
     x = log(spark, d)
     wanted = x.select("item_id").distinct().filter("item_id % 2 = 0")
-    return explain.explain(MostPopular().fit(x), _pairs(x), K, candidates=wanted).select("user_id", "item_id", "status", "by", F.col("rank").cast("double").alias("rank"))
+    return explain.explain(MostPopular().fit(x), _pairs(x, who), K, candidates=wanted).select("user_id", "item_id", "status", "by", F.col("rank").cast("double").alias("rank"))
 
 
 # Pieces of the cascade.

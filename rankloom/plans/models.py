@@ -12,7 +12,7 @@ from ..operators.neighbours import BM25, ItemKNN, RP3Beta
 from ..operators.popular import MostPopular
 from ..schema import matrix
 from ..sources.tables import table
-from .registry import BY, all_users, log, query, top
+from .registry import BY, all_users, log, query, top, whole_too
 
 K = 10
 N = 20
@@ -117,8 +117,12 @@ def zero_fill_topk(spark, d):
     return _out(ItemKNN(2, units=UNITS).fit(x).recommend(all_users(x), K))
 
 
-def _pairs(x: DataFrame) -> DataFrame:
-    return x.filter("user_id % 10 = 0").select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct()
+#: The users of the SQL; the queries NAME_all ask for all.
+TENTH, THIRD = "user_id % 10 = 0", "user_id % 3 = 0"
+
+
+def _pairs(x: DataFrame, who: str) -> DataFrame:
+    return x.filter(who).select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct()
 
 
 _PAIRS = """, pairs AS (SELECT DISTINCT user_id, item_id + 1 AS item_id FROM log WHERE user_id % 10 = 0)"""
@@ -127,10 +131,10 @@ SELECT p.user_id, p.item_id, CASE WHEN p.item_id IN (SELECT item_id FROM items)
 FROM pairs p LEFT JOIN reached x ON x.user_id = p.user_id AND x.item_id = p.item_id"""
 
 
-@query(_KNN.format(n=N) + _PREDICT)
-def itemknn_predict(spark, d):
+@whole_too(_KNN.format(n=N) + _PREDICT, TENTH)
+def itemknn_predict(spark, d, who):
     x = log(spark, d)
-    return ItemKNN(N, units=UNITS).fit(x).predict(_pairs(x)).select("user_id", "item_id", "score")
+    return ItemKNN(N, units=UNITS).fit(x).predict(_pairs(x, who)).select("user_id", "item_id", "score")
 
 
 _BM25 = """, u AS (SELECT user_id, sum(r) AS s, count(*) AS n FROM r GROUP BY 1),
