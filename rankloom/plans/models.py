@@ -188,20 +188,14 @@ def rp3beta_recommend(spark, d):
     return _out(RP3Beta(N, units=UNITS).fit(x).recommend(all_users(x), K))
 
 
-def _small(spark, d) -> DataFrame:
-    """The purchases of every twentieth item: a catalogue small enough for dense solvers at
-    any scale factor of the tests."""
-    return log(spark, d).filter("item_id % 20 = 0")
-
-
 @query()
 def ease_weights(spark, d):
-    return EASE(500.0, max_items=20_000).fit(_small(spark, d)).tables["s"].select("i", "j", F.round("w", 9).alias("w"))
+    return EASE(500.0, max_items=20_000).fit(log(spark, d)).tables["s"].select("i", "j", F.round("w", 9).alias("w"))
 
 
 @query()
 def slim_weights(spark, d):
-    return SLIM(0.01, 0.1, N, max_items=20_000).fit(_small(spark, d)).tables["s"].select("i", "j", F.round("w", 6).alias("w"))
+    return SLIM(0.01, 0.1, N, max_items=20_000).fit(log(spark, d)).tables["s"].select("i", "j", F.round("w", 6).alias("w"))
 
 
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -47,6 +47,12 @@ def test_queries_of_some_users_have_one_of_all(spark, sf_dir, name):
     assert asked == users
 
 
+@pytest.mark.parametrize("name", ["ease_weights", "slim_weights"])
+def test_dense_models_cover_the_whole_catalogue(spark, sf_dir, name):
+    items = {r[0] for r in registry.log(spark, sf_dir).select("item_id").distinct().collect()}
+    assert {r[0] for r in registry.QUERIES[name](spark, sf_dir).select("j").distinct().collect()} == items
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
