@@ -27,12 +27,12 @@ MORE = {
     "slack": (re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), "xox"),
     "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"), "eyJ"),
     "google_key": (re.compile(r"\bAIza[0-9A-Za-z_-]{35}"), "AIza"),
-    "url_login": (re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@"), "://"),
+    "url_login": (re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"), "://"),
 }
 KINDS = [*BASE, *MORE]
 
 #: Goes up whenever a rule changes; a blob is scanned once for each version.
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 _LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 

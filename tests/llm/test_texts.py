@@ -132,6 +132,12 @@ def test_secrets_find_the_base_and_more(spark, tmp_path):
     assert got[7]["spans"].startswith("github:0:44") and "url_login" in got[8]["spans"]
 
 
+@pytest.mark.parametrize("user, password", [("oauth2", "t0" * 150), ("u" * 150, "hunter22")])
+def test_logins_of_any_length_are_found(user, password):
+    text = f"see https://{user}:{password}@example.com/ now"
+    assert f"url_login:4:{text.index('@') + 1}" in [s[2] for s in secrets.find(text)]
+
+
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     path = f"file://{tmp_path}/ledger"
     first = spark.createDataFrame([(1, "secret=abcdefghijklm"), (2, "clean"), (3, "clean")], "doc_id long, text string")
