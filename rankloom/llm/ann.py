@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import attach, cut
 
 #: Rows that the partition and its classifier are fitted on, at most.
 SAMPLE = 8192
 #: Neighbours of each node of the sample's graph.
 DEGREE = 10
-#: Rows of a part, about, before more parts are made; parts at least and at most.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 4096, 16, 256
+#: Rows of the sample in a part, about. Many small parts leave more of the table out at
+#: the same recall than few large ones do.
+PART_ROWS = 8
 #: A query is sent to so many parts that this recall is reached on the sample.
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
+#: Parts are dealt to tasks in so many cells, so that a query travels once a cell.
+CELLS = 16
 #: Vectors and queries that meet in one task, at most about.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
 
@@ -111,9 +114,14 @@ def balanced_parts(near: np.ndarray, parts: int, rng: np.random.Generator) -> np
 
 def fit_router(vectors: np.ndarray, parts: int, k: int = 5, seed: int = 11) -> Router:
     """Cuts the sample's neighbour graph into balanced parts and learns which of them hold
-    a vector's neighbours: the targets are the shares of its neighbours, itself included."""
+    a vector's neighbours: the targets are the shares of its neighbours, itself included.
+
+    An eighth of the sample is held out of the fit; the number of probes is the least that
+    reaches TARGET_RECALL for it, so it is not judged on what the classifier has seen.
+    """
     rng = np.random.default_rng(seed)
-    unit = _unit(np.unique(vectors, axis=0)).astype(np.float32)
+    every = _unit(rng.permutation(np.unique(vectors, axis=0))).astype(np.float32)
+    unit = every[len(every) // 8 :]
     n, dim = unit.shape
     degree = min(DEGREE, n - 1)
     near = neighbours(unit, degree)
@@ -142,27 +150,24 @@ def fit_router(vectors: np.ndarray, parts: int, k: int = 5, seed: int = 11) -> R
                 v[i] = 0.99 * v[i] + 0.01 * g * g
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     router = Router(*[x.astype(np.float64) for x in p], probes=parts)
-    # Probes: few enough for speed, enough for the target on the sample's own neighbours.
-    some = rng.permutation(n)[:1024]
-    top = neighbours(unit, min(k, n - 1))[some]
-    z = router.logits(unit.astype(np.float64))
+    held = np.arange(max(len(every) // 8, min(len(every), 8)))
+    top = neighbours(every, min(k, len(every) - 1))[held]
+    z = router.logits(every.astype(np.float64))
     home = z.argmax(axis=1)
-    rank = np.argsort(np.argsort(-z[some], axis=1), axis=1)
-    need = rank[np.arange(len(some))[:, None], home[top]]
+    rank = np.argsort(np.argsort(-z[held], axis=1), axis=1)
+    need = rank[held[:, None], home[top]]
     shares = [(need < probes).mean() for probes in range(1, parts + 1)]
     router.probes = int(np.argmax(np.array(shares) >= TARGET_RECALL)) + 1
     return router
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v array<double>): rows that take part. Others are null in key or vector, or
-    hold null or non-finite components, or are zero, or not as long as most vectors are."""
+    """(vec_id, v array<double>): rows that take part. Others are null in key or vector,
+    hold null or non-finite components, or are zero (an empty one is)."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    rows = rows.filter(F.forall("v", ok) & F.exists("v", lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.filter(F.size("v") == (most["n"] if most else 0))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    return rows.filter(F.forall("v", ok) & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -195,55 +200,72 @@ def nearest(q: np.ndarray, own: np.ndarray, v: np.ndarray, ids: np.ndarray, k: i
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, router: Router | None, k: int, n: int) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of each query within the parts it is sent to.
+def search(vectors: DataFrame, queries: DataFrame, router: Router | None, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each query within the parts it is
+    sent to.
 
-    ``router`` None: one part, all vectors. Vectors and queries of a part meet in blocks
-    of about BLOCK_ROWS by BLOCK_QUERIES, so no part and no group of copies fills a task.
+    ``router`` None: all vectors of the query's length are one part. Parts are gathered in
+    cells; vectors and queries of a cell meet in blocks of about BLOCK_ROWS by
+    BLOCK_QUERIES, so no part and no group of copies fills a task. A query travels once to
+    each cell, with the list of its parts there.
     """
+    wide = max(1, router.parts // CELLS) if router else 1
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                part = router.logits(_unit(_matrix(batch["v"]))).argmax(axis=1).astype(np.int32)
+                yield batch.assign(cell=part // wide, part=part)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                z = router.logits(_unit(_matrix(batch["v"])))
+                top = np.sort(np.argsort(-z, axis=1, kind="stable")[:, : router.probes], axis=1).astype(np.int32)
+                rows = [(i, v, c, row[row // wide == c].tolist()) for i, v, row in zip(batch["vec_id"], batch["v"], top, strict=True) for c in np.unique(row // wide).tolist()]
+                yield pd.DataFrame(rows, columns=["vec_id", "v", "cell", "parts"])
 
-    def route(probes: int):
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    z = router.logits(_unit(_matrix(batch["v"])))
-                    top = np.argsort(-z, axis=1, kind="stable")[:, :probes]
-                    yield batch.assign(part=list(top.astype(np.int32))).explode("part").astype({"part": "int32"})
-
-        return rows
-
-    shape = "vec_id long, v array<double>, part int"
     if router is None:
-        placed, sent = (side.select("vec_id", "v", F.lit(0).alias("part")) for side in (vectors, queries))
+        whole = F.size("v")
+        placed, sent = vectors.select("vec_id", "v", whole.alias("cell"), whole.alias("part")), queries.select("vec_id", "v", whole.alias("cell"), F.array(whole).alias("parts"))
     else:
-        placed, sent = vectors.mapInPandas(route(1), shape), queries.mapInPandas(route(router.probes), shape)
+        placed = vectors.mapInPandas(place, "vec_id long, v array<double>, cell int, part int")
+        sent = queries.mapInPandas(send, "vec_id long, v array<double>, cell int, parts array<int>")
     placed, sent = cut(placed), cut(sent)
-    count = lambda df, size, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    # One row for each part: at most MOST_PARTS.
-    blocks = cut(count(placed, BLOCK_ROWS, "nv").join(count(sent, BLOCK_QUERIES, "nq"), "part"))
-    blocks = F.broadcast(blocks)
+    count = lambda df, size, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    # One row for each cell: at most CELLS, or one for each length of vectors.
+    blocks = cut(count(placed, BLOCK_ROWS, "nv").join(count(sent, BLOCK_QUERIES, "nq"), "cell"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = sent.join(blocks, "part").withColumn("qb", F.pmod(F.xxhash64("vec_id"), "nq").cast("int")).withColumn("vb", each("nv"))
-    right = placed.join(blocks, "part").withColumn("vb", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("qb", each("nq"))
-    keys = ["part", "qb", "vb"]
+    left = attach(sent, blocks, ["cell"]).filter("nv > 0").withColumn("qb", F.pmod(F.xxhash64("vec_id"), "nq").cast("int")).withColumn("vb", each("nv"))
+    right = attach(placed, blocks, ["cell"]).filter("nq > 0").withColumn("vb", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("qb", each("nq"))
+    keys = ["cell", "qb", "vb"]
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
         q = q.drop_duplicates("vec_id")
-        at, ids, score = nearest(_matrix(q["v"]), q["vec_id"].to_numpy(), _matrix(v["v"]), v["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "vec_id": ids, "score": score})
+        if len(q) and len(v):
+            asked, own, each = _matrix(q["v"]), q["vec_id"].to_numpy(), _matrix(v["v"])
+            by, ids = v["part"].to_numpy(), v["vec_id"].to_numpy()
+            lists = q["parts"].tolist()
+            who, to = np.repeat(np.arange(len(q)), [len(x) for x in lists]), np.concatenate(lists)
+            for part in np.intersect1d(by, to):
+                rows, some = np.flatnonzero(by == part), who[to == part]
+                at, found, score = nearest(asked[some], own[some], each[rows], ids[rows], k)
+                out.append(pd.DataFrame({"query_id": own[some][at], "vec_id": found, "score": score}))
+        return pd.concat(out)
 
     # Aliased, as both sides may come from one table.
-    left, right = (side.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "v")]) for side in (left, right))
+    left = left.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "v", "parts")])
+    right = right.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "v", "part")])
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def parts_for(n: int) -> int:
-    return min(MOST_PARTS, max(LEAST_PARTS, 1 << round(math.log2(max(1, n / PART_ROWS)))))
+def parts_for(rows: int) -> int:
+    """Parts for a sample of so many rows: a power of two."""
+    return max(2, 1 << round(math.log2(max(1.0, rows / PART_ROWS))))
 
 
 def ann(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, sample: int = SAMPLE) -> DataFrame:
@@ -254,25 +276,28 @@ def ann(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", e
     cut into balanced parts and a small classifier learns which parts hold a vector's
     neighbours. It puts every vector into its most probable part and sends each query to
     the most probable ones, as many as reach TARGET_RECALL on the sample; all vectors
-    there are compared exactly. A table no larger than two parts is searched as one part,
-    and so are queries whose parts hold fewer than ``k`` others.
+    there are compared exactly. That holds at every size; only queries whose parts hold
+    fewer than ``k`` others are searched whole.
 
-    Rows that take no part: see :func:`usable`. Rows with one key: the first by a sort of
-    its block is taken, so repeated rows count once. Other columns are ignored. No rows:
-    no rows.
+    Only vectors of one length have a cosine: the most common length is partitioned,
+    those of other lengths are searched whole among their like. Rows that take no part:
+    see :func:`usable`. Rows with one key: the first by a sort of its block is taken, so
+    repeated rows count once. Other columns are ignored. No rows: no rows.
     """
     rows = cut(usable(vectors.select(key, vector), key, vector))
     queries = rows.filter(F.col("vec_id") % every == 0)
-    n = rows.count()
-    if n <= 2 * PART_ROWS:
-        return search(rows, queries, None, k, n).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    some = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    router = fit_router(_matrix(some["v"]), parts_for(n), k)
-    found = cut(search(rows, queries, router, k, n))
+    most = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
+    main = F.size("v") == (most["n"] if most else 0)
+    some = rows.filter(main).orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(sample).select("v").toPandas()
+    distinct = np.unique(_matrix(some["v"]), axis=0) if len(some) else np.empty((0, 1))
+    if len(distinct) < 4:
+        return search(rows, queries, None, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    router = fit_router(distinct, parts_for(len(distinct)), k)
+    found = cut(search(rows.filter(main), queries.filter(main), router, k))
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k).select(F.col("query_id").alias("vec_id"))
     short = cut(queries.join(full, "vec_id", "left_anti"))
-    if short.count():
-        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(rows, short, None, k, n))
+    if short.head(1):
+        found = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(search(rows, short, None, k))
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

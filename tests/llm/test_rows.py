@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -177,20 +178,27 @@ def test_chat_round_trip_and_expansion(spark):
     rows += [(99, 0, "user", "same"), (99, 0, "user", "same"), (None, 1, "assistant", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     formatted = chat.format_turns(turns.withColumn("position", turns.text))
-    read = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.conversations_text(formatted)).collect()}
+    written = chat.write_examples(formatted)
+    back = {r["conv_id"]: r for r in chat.read_back(written).collect()}
     want = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2] or "", r[3] or "")):
         want[c].append((role or "", text or ""))
-    assert read == want
-    whole = {r["conv_id"]: r["formatted"] for r in chat.conversations_text(formatted).collect()}
-    examples = chat.render(formatted).collect()
+    assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in back.items()} == want
+    assert {c: r["loss_text"] for c, r in back.items()} == {c: "".join(t for r, t in own if r == "assistant") for c, own in want.items()}
+    examples = chat.render(written).collect()
     assert Counter(e["conv_id"] for e in examples) == {c: n for c, own in want.items() if (n := sum(r == "assistant" for r, _ in own))}
+    full = Counter()
     for e in examples:
         text, target = e["text"], e["text"][e["loss_start"] : e["loss_start"] + e["loss_chars"]]
-        assert whole[e["conv_id"]].startswith(text) and text.endswith(target + chat.END)
+        full[e["conv_id"]] += len(text)
         place = text.count(chat.END) - 1
-        said = [i for i, (r, _) in enumerate(want[e["conv_id"]]) if r == "assistant"]
-        assert place == said[e["example"]]
+        replies = [i for i, (r, _) in enumerate(want[e["conv_id"]]) if r == "assistant"]
+        assert place == replies[e["example"]] and text.endswith(target + chat.END)
+        assert re.sub(r"(?s)\\(.)", r"\1", target) == want[e["conv_id"]][place][1]
+    assert {c: r["formatted_chars"] for c, r in back.items()} == {c: full[c] for c in want}
+    # Bodies hold every segment once, however many examples share it.
+    assert sum(len(r["body"]) for r in written.collect()) == sum(r["seg_start"] + len(r["segment"]) - r["seg_start"] for r in formatted.collect())
+    assert chat.read_back(chat.write_examples(chat.format_turns(turns.limit(0)))).count() == 0
     assert chat.format_turns(turns.limit(0)).count() == 0
 
 
