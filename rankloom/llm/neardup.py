@@ -24,10 +24,12 @@ REGISTERS = BANDS * ROWS
 PASS = 0.2
 #: Two members of which one does not may be linked only if both are less similar than this.
 APART = 0.6
-#: Buckets of members that stay apart: up to so many are compared in pairs, more are
-#: divided by a second band (and a third).
+#: Of a bucket's members that stay apart, up to so many are compared in pairs; more get a
+#: new centre ROUNDS - 1 times, and what is left then is compared in blocks of signatures.
 PAIRS = 64
-DEPTH = 3
+ROUNDS = 3
+#: Signatures compared with each other in one task, at most.
+SIGNATURES = 2048
 #: Documents compared with each other in one task, at most.
 BLOCK = 256
 
@@ -39,7 +41,11 @@ def shingles(text: str | None, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
     A text of fewer than ``width`` words is one shingle of all of them.
     """
-    hashes = word_hashes(words_of(text))
+    return shingles_of(words_of(text), width)
+
+
+def shingles_of(words: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    hashes = word_hashes(words)
     if 0 < len(hashes) < width:
         hashes = window_hashes(hashes, len(hashes))
     else:
@@ -99,25 +105,27 @@ def class_id(said: bytes) -> int:
     return int.from_bytes(said[:8], "little", signed=True)
 
 
-_SKETCH = "key long, h long, cid long, n_words int, sig binary, bands array<long>"
+_SKETCH = "cid long, n_words int, sig binary, bands array<long>"
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for a in range(0, len(batch), 512):
-            part = batch.iloc[a : a + 512]
-            words = [words_of(t) for t in part["text"]]
-            cids = [class_id(hashlib.sha256(b" ".join(w)).digest()) for w in words]
-            full = [i for i, w in enumerate(words) if w]
-            found = [shingles(part["text"].iloc[i]) for i in full]
-            sig: list[bytes | None] = [None] * len(part)
-            bands: list[np.ndarray | None] = [None] * len(part)
-            if full:
-                made = sketches([v for v, _ in found], [c for _, c in found])
-                low = (made & _U(0xFFFF)).astype(np.uint16)
-                for i, s, b in zip(full, low, band_keys(made).astype(np.int64), strict=True):
-                    sig[i], bands[i] = s.tobytes(), b
-            yield pd.DataFrame({"key": part["key"].array, "h": part["h"].array, "cid": cids, "n_words": [len(w) for w in words], "sig": sig, "bands": bands})
+def sketched_text(texts: pd.Series) -> pd.DataFrame:
+    """A text's class, words, signature and bands. Keys stay out of Python, where a null
+    beside them would turn them into doubles."""
+    out = []
+    for a in range(0, len(texts), 512):
+        words = [words_of(t) for t in texts.iloc[a : a + 512]]
+        cids = [class_id(hashlib.sha256(b" ".join(w)).digest()) for w in words]
+        full = [i for i, w in enumerate(words) if w]
+        sig: list[bytes | None] = [None] * len(words)
+        bands: list[np.ndarray | None] = [None] * len(words)
+        if full:
+            found = [shingles_of(words[i]) for i in full]
+            made = sketches([v for v, _ in found], [c for _, c in found])
+            low = (made & _U(0xFFFF)).astype(np.uint16)
+            for i, s, b in zip(full, low, band_keys(made).astype(np.int64), strict=True):
+                sig[i], bands[i] = s.tobytes(), b
+        out += zip(cids, map(len, words), sig, bands, strict=True)
+    return pd.DataFrame(out, columns=["cid", "n_words", "sig", "bands"])
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -139,6 +147,32 @@ def estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agreement("_a", "_b").alias("est"))
 
 
+def close_in_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): edges that join all members (bucket, cid, n) of a bucket connected by
+    estimates of APART or more.
+
+    A bucket is cut into blocks of up to SIGNATURES / 2, and every two blocks meet in a
+    task of their own, so no task holds a large bucket.
+    """
+    sized = members.withColumn("_blocks", F.ceil(2 * F.col("n") / SIGNATURES).cast("int")).withColumn("_block", F.pmod(F.xxhash64("cid"), "_blocks").cast("int"))
+    sized = sized.join(sigs.select("cid", "sig"), "cid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = sized.select("bucket", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "cid", "sig")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("cid")
+        ids, sig = rows["cid"].to_numpy(), np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), REGISTERS)
+        # Each member is tied to the first of its group: links enough for components.
+        group, out = np.arange(len(ids)), []
+        for k in range(len(ids) - 1):
+            for other in (np.flatnonzero((sig[k + 1 :] == sig[k]).mean(axis=1) >= APART) + k + 1).tolist():
+                if group[other] != group[k]:
+                    out.append((ids[k], ids[other]))
+                    group[group == group[other]] = group[k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def candidate_edges(sigs: DataFrame) -> DataFrame:
     """(a, b): edges whose components hold both ends of every pair that shares a band and
     may be similar enough; no bucket is spread into all its pairs.
@@ -147,36 +181,41 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
     by PASS join it. Others stay apart, and so do their possible partners: 1 - similarity
     is a metric, so a partner of a text that does not pass is itself under APART (0.2 +
     0.2, and the estimates' spread). What stays apart is compared in pairs where it is
-    few, and divided by a second band where it is many, as texts that share a passage
-    only; similar texts share nine bands on average.
+    few. Where it is many it gets a new centre, and what is left after ROUNDS centres is
+    compared in blocks (:func:`close_in_blocks`), so every pair that shares a band is met.
     """
-    base = sigs.select("cid", F.posexplode("bands").alias("band", "bucket"))
-    members, edges = base, None
-    for depth in range(DEPTH):
+    spark = sigs.sparkSession
+    members = sigs.select("cid", F.explode("bands").alias("bucket"))
+    edges = None
+
+    def found(more: DataFrame) -> None:
+        nonlocal edges
+        edges = more if edges is None else edges.unionByName(more)
+
+    for turn in range(ROUNDS):
         centres = members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "centre")
-        near = cut(members.join(cut(centres), "bucket").filter("cid <> centre").select("bucket", "band", F.col("cid").alias("a"), F.col("centre").alias("b")))
+        near = cut(members.join(cut(centres), "bucket").filter("cid <> centre").select("bucket", F.col("cid").alias("a"), F.col("centre").alias("b")))
         known = cut(estimated(near.select("a", "b").distinct(), sigs))
-        tidy(sigs.sparkSession)
-        joined = known.filter(F.col("est") >= PASS).select("a", "b")
-        edges = joined if edges is None else edges.unionByName(joined)
+        tidy(spark)
+        found(known.filter(F.col("est") >= PASS).select("a", "b"))
         if not known.filter(F.col("est") < PASS).head(1):
             break
         apart = near.join(known.filter(F.col("est") < APART), ["a", "b"])
         sizes = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("est").alias("least"))
         sizes = cut(sizes.filter((F.col("least") < PASS) & (F.col("n") > 1)).select("bucket", "n"))
-        left = cut(apart.select("bucket", "band", F.col("a").alias("cid")).join(sizes, "bucket"))
-        few = left if depth == DEPTH - 1 else left.filter(F.col("n") <= PAIRS)
+        left = cut(apart.select("bucket", F.col("a").alias("cid")).join(sizes, "bucket"))
+        few = left.filter(F.col("n") <= PAIRS)
         pairs = few.select("bucket", F.col("cid").alias("a")).join(few.select(F.col("bucket").alias("_k"), F.col("cid").alias("b")), (F.col("bucket") == F.col("_k")) & (F.col("a") < F.col("b")))
-        # Cut, so that the union of all depths stays a small plan for the driver.
-        close = cut(estimated(pairs.select("a", "b").distinct(), sigs).filter(F.col("est") >= APART).select("a", "b"))
-        edges = edges.unionByName(close)
-        tidy(sigs.sparkSession)
+        # Cut, so that the union of all turns stays a small plan for the driver.
+        found(cut(estimated(pairs.select("a", "b").distinct(), sigs).filter(F.col("est") >= APART).select("a", "b")))
+        tidy(spark)
         many = left.filter(F.col("n") > PAIRS)
-        if depth == DEPTH - 1 or not many.head(1):
+        if not many.head(1):
             break
-        again = many.select("bucket", "band", F.col("cid").alias("_c")).join(base.select("cid", F.col("band").alias("_band"), F.col("bucket").alias("_bucket")), (F.col("_c") == F.col("cid")) & (F.col("_band") > F.col("band")))
-        tidy(sigs.sparkSession)
-        members = cut(again.select("cid", F.col("_band").alias("band"), F.xxhash64("bucket", "_bucket").alias("bucket")))
+        if turn == ROUNDS - 1:
+            found(cut(close_in_blocks(many, sigs)))
+        else:
+            members = cut(many.select("cid", "bucket"))
     return edges
 
 
@@ -198,8 +237,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def links(texts: list[str], side: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links that join all texts connected by pairs of similarity ``least`` or more.
 
-    Only pairs of different ``side`` count if both sides occur. A pair is similar if its
-    probability Jaccard (weights: how often a shingle occurs) or its plain Jaccard is.
+    Only pairs of different ``side`` count if both sides occur. The similarity is the
+    probability Jaccard of shingles weighted by how often they occur, which is the plain
+    Jaccard similarity where no text repeats a shingle.
     """
     found = [shingles(t) for t in texts]
     n = len(texts)
@@ -223,15 +263,15 @@ def links(texts: list[str], side: np.ndarray, least: float) -> list[tuple[int, i
         part[doc[a:b], column[a:b] - k * width] = share[a:b]
         common += has @ has.T
         mass += part @ has.T
+    even = sizes == total
     plain = common / (sizes[:, None] + sizes[None, :] - common)
-    # Probability Jaccard is at most the share of either text that is common.
-    most = np.minimum(mass, mass.T)
-    maybe = (plain >= least) | (most >= least - 1e-3)
-    maybe &= np.triu(np.ones((n, n), np.bool_), 1)
+    # Of two texts without repeats it is plain Jaccard; else at most the share of either that is common.
+    most = np.where(even[:, None] & even[None, :], plain, np.minimum(mass, mass.T))
+    maybe = (most >= least - 1e-3) & np.triu(np.ones((n, n), np.bool_), 1)
     if side.min() != side.max():
         maybe &= side[:, None] != side[None, :]
     a, b = np.nonzero(maybe)
-    order = np.argsort(-np.maximum(plain[a, b], most[a, b]), kind="stable")
+    order = np.argsort(-most[a, b], kind="stable")
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -240,14 +280,14 @@ def links(texts: list[str], side: np.ndarray, least: float) -> list[tuple[int, i
             i = parent[i]
         return i
 
-    even = sizes == total
     out = []
     for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
         p, q = root(i), root(j)
         if p == q:
             continue
-        exact = common[i, j] / (sizes[i] + sizes[j] - common[i, j])
-        if exact >= least or (not (even[i] and even[j]) and probability_jaccard(found[i], found[j]) >= least):
+        both = float(common[i, j])
+        alike = both / (sizes[i] + sizes[j] - both) if even[i] and even[j] else probability_jaccard(found[i], found[j])
+        if alike >= least:
             parent[p] = q
             out.append((i, j))
     return out
@@ -283,8 +323,9 @@ def verified_links(clusters: DataFrame, docs: DataFrame, least: float) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(key, class_id, class_size, n_words, text_hash) for every row: near-duplicates share
-    a class; ``text_hash`` (xxhash64) tells rows of one key apart.
+    """(key, class_id, class_size, n_words, text_hash, class_hash) for every row:
+    near-duplicates share a class; ``text_hash`` (xxhash64) tells rows of one key apart,
+    ``class_hash`` classes that have no key (and holds for texts with words only).
 
     Documents are linked if their shingles of five words are similar by ``least`` (see
     :func:`links`); a class is a connected component of links and is named by its
@@ -295,12 +336,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Null, empty and white texts have no words, are never linked and are classes of their
     own (``class_id`` is their key). Rows that repeat a key and a text are copies of each
-    other; a null key sorts first, and a class that has no other is named null. Other
-    columns are ignored. No rows: no rows.
+    other; a class is named by the smallest key that is not null, or null if it has none.
+    Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sketched = cut(rows.select("key", F.xxhash64("text").alias("h"), "text").mapInPandas(_sketch, _SKETCH))
+    sketched = cut(rows.select("key", F.xxhash64("text").alias("h"), F.pandas_udf(sketched_text, _SKETCH)("text").alias("s")).select("key", "h", "s.*"))
     spoken = sketched.filter("n_words > 0")
     classes = cut(spoken.groupBy("cid").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")))
     firsts = classes.select(F.col("cid").alias("_cid"), "first")
@@ -315,20 +356,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     named = classes.join(joined, F.col("cid") == F.col("_v"), "left").select("cid", "first", "copies", F.coalesce("root", "cid").alias("root"))
     named = cut(named)
     whole = named.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_class = cut(named.select("cid", "root").join(whole, "root").select(F.col("cid").alias("_cid"), "class_id", "class_size"))
+    of_class = cut(named.select("cid", "root").join(whole, "root").select(F.col("cid").alias("_cid"), "class_id", "class_size", F.col("root").alias("class_hash")))
     done = sketched.select("key", "h", "cid", "n_words").join(of_class, F.col("cid") == F.col("_cid"), "left")
     none = F.col("n_words") == 0
-    return done.select(F.col("key").alias(key), F.when(none, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.col("n_words").cast("long").alias("n_words"), F.col("h").alias("text_hash"))
+    return done.select(F.col("key").alias(key), F.when(none, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.col("n_words").cast("long").alias("n_words"), F.col("h").alias("text_hash"), "class_hash")
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest key (of its
-    texts, the one that hashes least; of equal rows, one). Texts without words all stay."""
+    texts, the one that hashes least). Texts without words all stay, whatever their key.
+    Of rows that repeat both key and text, one stays."""
     found = near_duplicates(docs, key=key, text=text, least=least)
     wordless = F.col("n_words") == 0
-    own = cut(found.filter(wordless | F.col("class_id").eqNullSafe(F.col(key))).select(key, "class_id", "n_words", "text_hash"))
+    group = F.when(wordless, F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).otherwise(F.struct(F.lit(None).cast("long").alias("k"), F.col("class_hash").alias("h")))
+    own = found.filter(wordless | F.col("class_id").eqNullSafe(F.col(key)))
+    own = cut(own.select(key, "text_hash", wordless.alias("_none"), group.alias("_group")))
     tidy(docs.sparkSession)
-    one = own.groupBy("class_id", wordless.alias("_none"), F.when(wordless, F.col("text_hash")).alias("_w")).agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("m"))
+    one = own.groupBy("_none", "_group").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("m"))
     rows = own.groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     stay = one.select("m.k", "m.h").join(rows, F.col("k").eqNullSafe(F.col("_k")) & F.col("h").eqNullSafe(F.col("_h"))).select("_k", "_h", "_n")
     stay = cut(stay)
