@@ -93,6 +93,8 @@ def repeated_of(state: DataFrame, total: int) -> DataFrame:
         return pd.DataFrame(out, columns=["src", "again"])
 
     sent = state.select("src", "hashes").mapInPandas(send, "bucket int, src long, hashes binary, many binary")
+    if buckets > int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        sent = sent.repartition(buckets, "bucket")
     met = sent.groupBy("bucket").applyInPandas(meet, "src long, again binary")
     return met.groupBy("src").agg(F.collect_list("again").alias("again"))
 

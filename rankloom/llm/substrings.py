@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ from .common import cut, words_of
 from .hashing import members, mix, repeated_of, source_id, tidy, window_hashes, word_hashes
 
 WIDTH = 35
-#: Words of the anchors that find candidates.
+#: Words of the first level's windows; each level doubles them up to WIDTH.
 ANCHOR = 8
-#: Hashes in a row of a level's table, about.
+#: Hashes in a row of a level's table, about; a document and eight bytes of its text count as one.
 PER_ROW = 200_000
+#: A second, independent hash of words.
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -44,28 +47,53 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def levels(width: int, anchor: int) -> list[int]:
+    """Window lengths up to ``width``: doubled from ``anchor``, the last one clipped."""
+    out = [anchor]
+    while out[-1] < width:
+        out.append(min(width, 2 * out[-1]))
+    return out
+
+
+def windows_at(hashes: np.ndarray, lengths: list[int], upto: int) -> np.ndarray:
+    """For each window of the last length, where the window of length ``upto`` starts that
+    stands for it: it holds the one of the length before and lies within the last, so equal
+    windows have equal ones at equal offsets."""
+    places = anchors_of(hashes, lengths[-1], lengths[0])
+    last = np.arange(len(places)) + lengths[-1]
+    for length in lengths[1 : lengths.index(upto) + 1]:
+        places = np.minimum(places, last - length)
+    return places
+
+
 def _scan(width: int, anchor: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Many documents a row: their keys, digests and the first level's windows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         out: list[tuple] = []
         size = 0
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+            # Arrow's lists keep keys whole numbers beside nulls, which pandas would not.
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 said = hashlib.sha256(b" ".join(words)).digest()
-                places = np.unique(anchors_of(hashes := word_hashes(words), width, anchor)) if len(words) >= width else np.empty(0, np.int64)
+                hashes = word_hashes(words)
+                places = np.unique(anchors_of(hashes, width, anchor)) if len(words) >= width else np.empty(0, np.int64)
                 grams = window_hashes(hashes, anchor)[places] if len(places) else np.empty(0, np.uint64)
                 out.append((key, said, len(words), len(places), grams.tobytes(), places.astype(np.int32).tobytes()))
-                size += len(places)
-            if size >= PER_ROW:
-                yield _packed(source_id(n), out)
-                n, out, size = n + 1, [], 0
+                size += len(places) + 1
+                if size >= PER_ROW:
+                    yield packed(source_id(n), out)
+                    n, out, size = n + 1, [], 0
         if out:
-            yield _packed(source_id(n), out)
+            yield packed(source_id(n), out)
 
-    def _packed(src: int, out: list[tuple]) -> pd.DataFrame:
+    def packed(src: int, out: list[tuple]) -> pa.RecordBatch:
         keys, said, words, counts, grams, places = zip(*out, strict=True)
-        return pd.DataFrame({"src": [src], "keys": [list(keys)], "said": [b"".join(said)], "words": [np.array(words, np.int32).tobytes()], "counts": [np.array(counts, np.int32).tobytes()], "hashes": [b"".join(grams)], "places": [b"".join(places)]})
+        row = {"src": src, "keys": keys, "said": b"".join(said), "words": np.array(words, np.int32).tobytes(), "counts": np.array(counts, np.int32).tobytes(), "hashes": b"".join(grams), "places": b"".join(places)}
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_pylist([row], pa.schema(list(zip(row, kinds, strict=True))))
 
     return scan
 
@@ -73,129 +101,177 @@ def _scan(width: int, anchor: int):
 _ROW = "src long, keys array<long>, said binary, words binary, counts binary, hashes binary, places binary"
 
 
-def _unpack(row, what: str) -> list[np.ndarray]:
-    kind = np.uint64 if what == "hashes" else np.int32
-    counts = np.frombuffer(row["counts"], np.int32)
-    return np.split(np.frombuffer(row[what], kind), np.cumsum(counts)[:-1])
+def _split(blob: bytes, kind: type, counts: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(blob, kind), np.cumsum(np.frombuffer(counts, np.int32))[:-1])
 
 
-def _documents(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in rows:
-        for keys, said, words in zip(batch["keys"], batch["said"], batch["words"], strict=True):
-            n = np.frombuffer(words, np.int32)
-            yield pd.DataFrame({"key": pd.array(list(keys), "Int64"), "said": [said[32 * i : 32 * i + 32] for i in range(len(n))], "n_words": n})
+def _said(row: dict, i: int) -> bytes:
+    return row["said"][32 * i : 32 * i + 32]
 
 
-def _survivors(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, said, places) of documents with anchors that occur elsewhere."""
-    for batch in rows:
-        for row in batch.to_dict("records"):
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            words = np.frombuffer(row["words"], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), pa.array([_said(row, i) for i in range(len(words))], pa.binary()), pa.array(words)], ["key", "said", "n_words"])
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, said, places) of documents with windows of the first level that occur elsewhere."""
+    for batch in batches:
+        for row in batch.to_pylist():
             hit = members(np.frombuffer(row["hashes"], np.uint64), row["again"])
-            counts = np.frombuffer(row["counts"], np.int32)
-            hits = np.split(hit, np.cumsum(counts)[:-1])
-            out = [(k, row["said"][32 * i : 32 * i + 32], p[h].tobytes()) for i, (k, p, h) in enumerate(zip(row["keys"], _unpack(row, "places"), hits, strict=True)) if h.any()]
+            hits = np.split(hit, np.cumsum(np.frombuffer(row["counts"], np.int32))[:-1])
+            out = [(row["keys"][i], _said(row, i), p[h].tobytes()) for i, (p, h) in enumerate(zip(_split(row["places"], np.int32, row["counts"]), hits, strict=True)) if h.any()]
             if out:
-                yield pd.DataFrame(out, columns=["key", "said", "places"]).astype({"key": "Int64"})
+                keys, said, places = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(said, pa.binary()), pa.array(places, pa.binary())], ["key", "said", "places"])
 
 
 def _same(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Only texts of the class that was asked for (a key may have other texts too), as
-    their words, compressed for the checkpoint."""
+    their words, compressed."""
     for batch in rows:
         words = [b" ".join(words_of(t)) for t in batch["text"]]
         batch["text"] = [zlib.compress(w, 1) for w in words]
         yield batch[[bytes(s) == hashlib.sha256(w).digest() for s, w in zip(batch["said"], words, strict=True)]]
 
 
-def _windows(width: int, anchor: int):
-    """The candidate windows' hashes: those whose anchor survived."""
+_LEVEL = "src long, said binary, counts binary, starts binary, hashes binary, n long, texts array<binary>"
 
-    def windows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, out, size = 0, [], 0
+
+class _Packer:
+    """Rows of a level, of about PER_ROW hashes each."""
+
+    def __init__(self):
+        self.n, self.out, self.size = 0, [], 0
+
+    def add(self, said: bytes, starts: np.ndarray, hashes: np.ndarray, text: bytes | None) -> Iterator[pd.DataFrame]:
+        self.out.append((bytes(said), starts.astype(np.int32), hashes, text))
+        self.size += len(starts) + 1 + len(text or b"") // 8
+        if self.size >= PER_ROW:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.out:
+            said, starts, hashes, texts = zip(*self.out, strict=True)
+            counts = np.array([len(s) for s in starts], np.int32)
+            yield pd.DataFrame({"src": [source_id(self.n)], "said": [b"".join(said)], "counts": [counts.tobytes()], "starts": [np.concatenate(starts).tobytes()], "hashes": [np.concatenate(hashes).astype(np.uint64).tobytes()], "n": [int(counts.sum())], "texts": [list(texts)]})
+            self.n, self.out, self.size = self.n + 1, [], 0
+
+
+def _kept(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, starts, hashes) of a level's windows that occur twice or more."""
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    hit = members(hashes, row["again"])
+    ends = np.cumsum(np.frombuffer(row["counts"], np.int32))[:-1]
+    for i, (s, h, k) in enumerate(zip(np.split(np.frombuffer(row["starts"], np.int32), ends), np.split(hashes, ends), np.split(hit, ends), strict=True)):
+        if k.any():
+            yield i, s[k], h[k]
+
+
+def _next(text: bytes, alive: np.ndarray, lengths: list[int], now: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and hashes of the next level's windows of a text: those that stand for
+    a window of the last length whose part at level ``now`` is ``alive``."""
+    hashes = word_hashes(zlib.decompress(text).split())
+    if second:
+        starts = alive
+    else:
+        live = np.zeros(len(hashes), np.bool_)
+        live[alive] = True
+        starts = np.unique(windows_at(hashes, lengths, lengths[now + 1])[live[windows_at(hashes, lengths, lengths[now])]])
+    if second:
+        hashes = mix(hashes, np.full(len(hashes), _SECOND))
+    return starts, window_hashes(hashes, lengths[-1] if second else lengths[now + 1])[starts]
+
+
+def _first_level(lengths: list[int]):
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = _Packer()
         for batch in rows:
             for said, text, blob in zip(batch["said"], batch["text"], batch["places"], strict=True):
-                hashes = word_hashes(zlib.decompress(text).split())
-                anchors = anchors_of(hashes, width, anchor)
-                live = np.zeros(len(hashes), np.bool_)
-                live[np.frombuffer(blob, np.int32)] = True
-                starts = np.flatnonzero(live[anchors])
-                out.append((bytes(said), starts.astype(np.int32), window_hashes(hashes, width)[starts]))
-                size += len(starts)
-                if size >= PER_ROW:
-                    yield _level_row(source_id(n), out)
-                    n, out, size = n + 1, [], 0
-        if out:
-            yield _level_row(source_id(n), out)
+                starts, hashes = _next(text, np.frombuffer(blob, np.int32), lengths, 0)
+                yield from pack.add(said, starts, hashes, text)
+        yield from pack.rest()
 
-    return windows
+    return run
 
 
-_LEVEL = "src long, said binary, counts binary, starts binary, hashes binary, n long"
+def _further_level(lengths: list[int], now: int):
+    """From the survivors of level ``now`` to the next; after the last to its windows under
+    a second hash, so that none is taken for repeated by a collision."""
 
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = _Packer()
+        for batch in rows:
+            for row in batch.to_dict("records"):
+                for i, alive, _ in _kept(row):
+                    starts, hashes = _next(row["texts"][i], alive, lengths, now, now == len(lengths) - 1)
+                    yield from pack.add(_said(row, i), starts, hashes, row["texts"][i])
+        yield from pack.rest()
 
-def _level_row(src: int, out: list[tuple]) -> pd.DataFrame:
-    said, starts, hashes = zip(*out, strict=True)
-    counts = np.array([len(s) for s in starts], np.int32)
-    return pd.DataFrame({"src": [src], "said": [b"".join(said)], "counts": [counts.tobytes()], "starts": [np.concatenate(starts).astype(np.int32).tobytes()], "hashes": [np.concatenate(hashes).astype(np.uint64).tobytes()], "n": [int(counts.sum())]})
+    return run
 
 
-def _kept_windows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A level's windows that occur twice or more."""
-    n = 0
+def _last_level(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = _Packer()
     for batch in rows:
         for row in batch.to_dict("records"):
-            hashes = np.frombuffer(row["hashes"], np.uint64)
-            hit = members(hashes, row["again"])
-            ends = np.cumsum(np.frombuffer(row["counts"], np.int32))[:-1]
-            starts = np.frombuffer(row["starts"], np.int32)
-            out = [(row["said"][32 * i : 32 * i + 32], s[k], h[k]) for i, (s, h, k) in enumerate(zip(np.split(starts, ends), np.split(hashes, ends), np.split(hit, ends), strict=True)) if k.any()]
-            if out:
-                yield _level_row(source_id(n), out)
-                n += 1
+            for i, starts, hashes in _kept(row):
+                yield from pack.add(_said(row, i), starts, hashes, None if row["texts"] is None else row["texts"][i])
+    yield from pack.rest()
 
 
 def _doubled(width: int):
     """Windows of twice ``width`` words: both halves are windows that survived."""
 
     def doubled(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        pack = _Packer()
         for batch in rows:
             for row in batch.to_dict("records"):
-                ends = np.cumsum(np.frombuffer(row["counts"], np.int32))[:-1]
-                out = []
-                for i, (s, h) in enumerate(zip(np.split(np.frombuffer(row["starts"], np.int32), ends), np.split(np.frombuffer(row["hashes"], np.uint64), ends), strict=True)):
+                for i, (s, h) in enumerate(zip(_split(row["starts"], np.int32, row["counts"]), _split(row["hashes"], np.uint64, row["counts"]), strict=True)):
                     at = np.searchsorted(s, s + width)
                     ok = at < len(s)
                     ok[ok] = s[at[ok]] == s[ok] + width
                     if ok.any():
-                        out.append((row["said"][32 * i : 32 * i + 32], s[ok], mix(h[ok], h[at[ok]])))
-                if out:
-                    yield _level_row(source_id(n), out)
-                    n += 1
+                        yield from pack.add(_said(row, i), s[ok], mix(h[ok], h[at[ok]]), None)
+        yield from pack.rest()
 
     return doubled
 
 
-def _spans(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _names(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in rows:
         for row in batch.to_dict("records"):
-            ends = np.cumsum(np.frombuffer(row["counts"], np.int32))[:-1]
-            parts = np.split(np.frombuffer(row["starts"], np.int32), ends)
-            yield pd.DataFrame({"said": [row["said"][32 * i : 32 * i + 32] for i in range(len(parts))], "starts": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"said": [_said(row, i) for i in range(len(row["said"]) // 32)]})
 
 
-def _total(state: DataFrame, n: str = "n") -> int:
-    return state.agg(F.sum(n)).first()[0] or 0
+def _removed(width: int):
+    """What is left of each document of the last level."""
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for row in batch.to_dict("records"):
+                for i, starts in enumerate(_split(row["starts"], np.int32, row["counts"])):
+                    words = zlib.decompress(row["texts"][i]).split()
+                    gone = cover(starts, width, len(words))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                    kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+                    out.append((_said(row, i), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.reshape(-1, 2).tolist()))
+            yield pd.DataFrame(out, columns=["said", "n_removed", "kept_sha256", "removed"])
+
+    return run
 
 
-def _level(state: DataFrame) -> DataFrame | None:
-    """``state`` less the windows that occur once only; None if none is left."""
-    total = _total(state)
+def _survive(state: DataFrame, run) -> DataFrame | None:
+    """``run`` over ``state`` and its repeated hashes; None if nothing is left."""
+    total = state.agg(F.sum("n")).first()[0] or 0
     if not total:
         return None
-    again = repeated_of(state, total)
-    left = cut(state.join(again, "src").mapInPandas(_kept_windows, _LEVEL))
-    return left if _total(left) else None
+    left = cut(state.join(repeated_of(state, total), "src").mapInPandas(run, _LEVEL))
+    tidy(state.sparkSession)
+    return left if left.head(1) else None
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -207,66 +283,59 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
 
     1. Texts with the same words are one class; it stands for its copies. In a class of
        two or more, every word of a text of ``width`` words or more goes.
-    2. Candidates: each window's smallest ``anchor``-word hash is its anchor; anchors
-       found once in all texts rule out their windows (equal windows share theirs).
-    3. Level-wise doubling: of windows of one length, those found once are dropped; pairs
-       of survivors that touch make the windows of twice the length, until no candidates
-       survive. Words in survivors of the first level are removed; windows are judged on
-       the input.
+    2. Level-wise doubling decides the windows of ``width`` words. Each is represented by
+       its window of ``anchor`` words that hashes least, then by one of twice that length
+       around it, and so on up to itself (:func:`windows_at`); equal windows have equal
+       representatives. At each level, those found once rule out all they stand for, and
+       the survivors are extended. Survivors of the last level must also be repeated under
+       a second hash; words in them are removed. Windows are judged on the input.
+    3. The doubling goes on: pairs of survivors that touch make the windows of twice the
+       length, until no candidates survive. That gives ``longest``.
 
     Null and empty texts have no words and lose none. Rows with equal key and text are
-    copies of each other like any others; null keys are kept. Windows are compared by
-    64-bit hashes. Other columns are ignored. No rows: no rows.
+    copies of each other like any others; null keys are kept. A window is taken for
+    repeated only if five hashes of 64 bits of it and its parts are. Other columns are
+    ignored. No rows: no rows.
     """
     spark = docs.sparkSession
+    if width < 2:
+        raise ValueError("windows of two words at least")
+    lengths = levels(width, min(anchor, (width + 1) // 2))
+    anchor = lengths[0]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    scanned = cut(rows.mapInPandas(_scan(width, anchor), _ROW))
-    named = cut(scanned.select("keys", "said", "words").mapInPandas(_documents, "key long, said binary, n_words int"))
+    scanned = cut(rows.mapInArrow(_scan(width, anchor), _ROW))
+    named = cut(scanned.select("keys", "said", "words").mapInArrow(_documents, "key long, said binary, n_words int"))
     classes = cut(named.groupBy("said").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")))
     total = scanned.agg(F.sum(F.octet_length("hashes")) / 8).first()[0] or 0
     again = repeated_of(scanned, int(total))
-    alive = scanned.join(again, "src").mapInPandas(_survivors, "key long, said binary, places binary")
+    alive = scanned.join(again, "src").mapInArrow(_survivors, "key long, said binary, places binary")
     # One text a class; copies with equal keys agree in all that follows.
     first = classes.select(F.col("said").alias("_said"), F.col("first").alias("_first"))
     alive = alive.join(first, (alive["said"] == first["_said"]) & alive["key"].eqNullSafe(first["_first"])).dropDuplicates(["said"]).select("key", "said", "places")
     alive = cut(alive)
-    joined = rows.withColumnRenamed("key", "_key").join(alive.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("key")))
-    texts = cut(joined.select("said", "text", "places").mapInPandas(_same, "said binary, text binary, places binary"))
-    del scanned, again, alive, joined, first
+    del scanned, again, first
     tidy(spark)
-    state = _level(cut(texts.mapInPandas(_windows(width, anchor), _LEVEL)))
+    joined = rows.withColumnRenamed("key", "_key").join(alive.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("key")))
+    texts = joined.select("said", "text", "places").mapInPandas(_same, "said binary, text binary, places binary").dropDuplicates(["said"])
+    state = cut(texts.mapInPandas(_first_level(lengths), _LEVEL))
+    del alive, joined, texts
     tidy(spark)
-    found, lengths, size = None, [], width
-    while state is not None:
-        spans = cut(state.mapInPandas(_spans, "said binary, starts binary"))
-        found = spans if found is None else found
-        lengths.append(cut(spans.select("said", F.lit(size).cast("long").alias("longest"))))
-        state = cut(state.mapInPandas(_doubled(size), _LEVEL))
+    for now in range(1, len(lengths)):
+        state = state if state is None else _survive(state, _further_level(lengths, now))
+    state = state if state is None else _survive(state, _last_level)
+    part = spark.createDataFrame([], "said binary, n_removed long, kept_sha256 string, removed array<array<int>>")
+    longest = spark.createDataFrame([], "said binary, longest long")
+    if state is not None:
+        part = cut(state.mapInPandas(_removed(width), part.schema))
+        state = cut(state.withColumn("texts", F.lit(None).cast("array<binary>")))
         tidy(spark)
-        state, size = _level(state), 2 * size
-        tidy(spark)
-    if found is None:
-        found = spark.createDataFrame([], "said binary, starts binary")
-        lengths = [spark.createDataFrame([], "said binary, longest long")]
-    longest = lengths[0]
-    for more in lengths[1:]:
-        longest = longest.unionByName(more)
+    size = width
+    while state is not None:
+        longest = longest.unionByName(cut(state.mapInPandas(_names, "said binary").withColumn("longest", F.lit(size).cast("long"))))
+        state, size = cut(state.mapInPandas(_doubled(size), _LEVEL)), 2 * size
+        state = _survive(state, _last_level)
     longest = longest.groupBy("said").agg(F.max("longest").alias("longest"))
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for said, body, blob in zip(batch["said"], batch["text"], batch["starts"], strict=True):
-                words = zlib.decompress(body).split()
-                gone = cover(np.frombuffer(blob, np.int32), width, len(words))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append((said, int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.reshape(-1, 2).tolist()))
-            yield pd.DataFrame(out, columns=["said", "n_removed", "kept_sha256", "removed"])
-
-    part = texts.select("said", "text").join(found, "said").mapInPandas(keep, "said binary, n_removed long, kept_sha256 string, removed array<array<int>>")
-    part = cut(part.dropDuplicates(["said"]).join(longest, "said", "left").select(F.col("said").alias("_said"), "n_removed", "kept_sha256", "longest", "removed"))
-    tidy(spark)
+    part = cut(part.join(longest, "said", "left").select(F.col("said").alias("_said"), "n_removed", "kept_sha256", "longest", "removed"))
     of_class = cut(classes.join(part, classes["said"] == part["_said"], "left").drop("_said").filter((F.col("copies") > 1) | F.col("n_removed").isNotNull()).withColumnRenamed("said", "_c"))
     done = named.join(of_class, named["said"] == of_class["_c"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= width)
