@@ -25,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         set_to = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
         atexit.register(shutil.rmtree, set_to, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(set_to)
@@ -79,13 +81,14 @@ def ranked(df: DataFrame, group: list[str], spread: str, order: list[str], rows:
 
     ``spread`` is a double in [0, 1), near uniform within its group and first in the
     order (``order`` breaks its ties). Each group is cut into ranges of about ``rows``
-    rows by ``spread``; ranks are the rows in earlier ranges plus a row number within
+    rows by ``spread``, or the root of its size if that is more, as one task adds up a
+    group's ranges; ranks are the rows in earlier ranges plus a row number within
     the range. ``df`` is read several times and should be checkpointed. Adds ``out``
     and ``size`` (the group's rows).
     """
     sizes = cut(df.groupBy(*group).agg(F.count(F.lit(1)).alias(size)))
     df = attach(df, sizes, group)
-    df = df.withColumn("_range", F.floor(F.col(spread) * F.ceil(F.col(size) / rows)).cast("long"))
+    df = df.withColumn("_range", F.floor(F.col(spread) * F.ceil(F.col(size) / F.greatest(F.lit(float(rows)), F.sqrt(size)))).cast("long"))
     counts = df.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut(counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))

@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SPACE_CHARS, cut, text_or_empty
 
@@ -23,11 +24,13 @@ def line_key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, h1, h2): the lines with keys long enough, by a 128-bit hash of the key."""
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text_or_empty(docs, text), "\n", -1)).alias("line", "said"))
-    rows = rows.filter(F.length("said") >= MIN_CHARS).select("doc", "line", line_key(F.col("said")).alias("said"))
+    """(doc, th, line, h1, h2): the lines with keys long enough, by a 128-bit hash of the
+    key; ``th`` hashes the whole text, as rows of one key may have different ones."""
+    said = text_or_empty(docs, text)
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(said).alias("th"), F.posexplode(F.split(said, "\n", -1)).alias("line", "said"))
+    rows = rows.filter(F.length("said") >= MIN_CHARS).select("doc", "th", "line", line_key(F.col("said")).alias("said"))
     rows = rows.filter(F.length("said") >= MIN_CHARS)
-    return rows.select("doc", "line", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit("second"), "said").alias("h2"))
+    return rows.select("doc", "th", "line", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit("second"), "said").alias("h2"))
 
 
 def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -39,26 +42,33 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     exchange); each range then sends one row for each key: its documents and the last.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lines.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "line")
+    ranged = lines.select("h1", "h2", "doc", "line").repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "line")
     once = ranged.groupBy("h1", "h2", "doc").agg(F.min("line").alias("line"))
     found = once.groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.max("doc").alias("last"))
     return found.filter(F.col("n") >= min_docs).select("h1", "h2", "last")
 
 
-def keep_runs(n: Column, dropped: Column) -> Column:
-    """A compressed keep bitmap: lengths of runs of kept, dropped, kept, ... lines.
+def dropped_runs(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc, th, _drops): each text's runs of dropped lines, as (first line, lines), in order.
 
-    ``dropped`` holds the sorted places of dropped lines among ``n``.
+    A run is what has one difference of line and rank: a window over one document's
+    dropped lines, so nothing is looked up line by line in a document's list.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("runs"))
+    hits = lines.join(repeated, ["h1", "h2"]).filter(F.col("doc") < F.col("last")).select("doc", "th", "line").distinct()
+    order = Window.partitionBy("doc", "th").orderBy("line")
+    runs = hits.withColumn("_run", F.col("line") - F.row_number().over(order)).groupBy("doc", "th", "_run")
+    runs = runs.agg(F.min("line").alias("at"), F.count(F.lit(1)).cast("int").alias("n"))
+    return runs.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("_drops"))
+
 
-    def step(s: Column, place: Column) -> Column:
-        last = F.size(s["runs"])
-        longer = F.concat(F.slice(s["runs"], F.lit(1), last - 1), F.array(F.element_at(s["runs"], -1) + 1))
-        runs = F.when((place == s["at"]) & (last > 0), longer).otherwise(F.concat(s["runs"], F.array(place - s["at"], F.lit(1))))
-        return F.struct((place + 1).alias("at"), runs.alias("runs"))
+def keep_runs(n: Column, drops: Column) -> Column:
+    """A compressed keep bitmap: lengths of runs of kept, dropped, kept, ... lines.
 
-    return F.aggregate(dropped, start, step, lambda s: F.concat(s["runs"], F.array(n - s["at"])))
+    ``drops``: an array column of the dropped runs (at, n) among ``n`` lines, in order.
+    """
+    last = F.element_at(drops, -1)
+    before = F.transform(drops, lambda d, i: F.array(d["at"] - F.when(i == 0, 0).otherwise(F.get(drops, i - 1)["at"] + F.get(drops, i - 1)["n"]), d["n"]))
+    return F.when(F.coalesce(F.size(drops), F.lit(0)) <= 0, F.array(n)).otherwise(F.concat(F.flatten(before), F.array(n - last["at"] - last["n"])))
 
 
 def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -69,37 +79,27 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mi
     documents is dropped, except in the largest ``key`` that holds it, which keeps all
     its copies. Rows that share a key value count as one document; rows with a null key
     are never dropped and count for none. ``keep_runs`` are the bitmap's run lengths, kept first.
-    Other columns pass through. No rows: no rows.
+    Other columns pass through, whatever their names, but give way to the three. No rows:
+    no rows.
     """
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs")]
+    docs = docs.select(*names)
     # Hashes without texts, read three times below: sampled for the ranges, dealt, joined.
     lines = cut(lines_of(docs.filter(F.col(key).isNotNull()), key, text))
-    repeated = cut(repeated_lines(lines, min_docs))
-    hits = lines.select("doc", "h1", "h2").join(repeated, ["h1", "h2"]).filter(F.col("doc") < F.col("last"))
-    drops = cut(hits.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drops")))
-    split = F.split(text_or_empty(docs, text), "\n", -1)
-    joined = docs.hint("merge").join(drops, docs[key] == drops["_doc"], "left").drop("_doc")
-
-    def is_dropped(line: Column) -> Column:
-        said = line_key(line)
-        return (F.length(said) >= MIN_CHARS) & F.array_contains(F.col("_drops"), F.struct(F.xxhash64(said).alias("h1"), F.xxhash64(F.lit("second"), said).alias("h2")))
-
-    places = F.filter(F.transform(split, lambda x, i: F.when(is_dropped(x), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("n_lines", F.size(split).cast("long"))
-    joined = joined.withColumn("_places", F.when(F.col("_drops").isNull(), F.array().cast("array<int>")).otherwise(places))
-    runs = F.when(F.col("_drops").isNull(), F.array(F.col("n_lines").cast("int"))).otherwise(keep_runs(F.col("n_lines").cast("int"), F.col("_places")))
-    return joined.withColumn("n_dropped", F.size("_places").cast("long")).withColumn("keep_runs", runs).drop("_places", "_drops")
+    drops = cut(dropped_runs(lines, cut(repeated_lines(lines, min_docs))))
+    said = text_or_empty(docs, text)
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(key).alias("k"), F.xxhash64(said).alias("h"), F.size(F.split(said, "\n", -1)).alias("n"))
+    joined = rows.hint("merge").join(drops, (rows["k"] == drops["doc"]) & (rows["h"] == drops["th"]), "left")
+    dropped = F.aggregate(F.coalesce("_drops", F.array().cast("array<struct<at:int,n:int>>")), F.lit(0), lambda s, d: s + d["n"])
+    return joined.select("row.*", F.col("n").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), keep_runs(F.col("n"), F.col("_drops")).alias("keep_runs"))
 
 
 def kept_text(text: Column, runs: Column) -> Column:
-    """The kept lines of ``text``, joined by \\n, read off the bitmap."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-    def step(s: Column, run: Column) -> Column:
-        kept = F.when(s["keep"], F.concat(s["lines"], F.slice(lines, s["at"], run))).otherwise(s["lines"])
-        return F.struct((s["at"] + run).alias("at"), (~s["keep"]).alias("keep"), kept.alias("lines"))
-
-    start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("keep"), F.array().cast("array<string>").alias("lines"))
-    return F.when(F.size(runs) == 1, F.coalesce(text, F.lit(""))).otherwise(F.aggregate(runs, start, step, lambda s: F.concat_ws("\n", s["lines"])))
+    """The kept lines of ``text``, joined by \\n, read off the bitmap: the bitmap is
+    written out and zipped with the lines, in one pass."""
+    flags = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    kept = F.zip_with(F.split(F.coalesce(text, F.lit("")), "\n", -1), flags, lambda line, keep: F.when(keep, line))
+    return F.when(F.size(runs) == 1, F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

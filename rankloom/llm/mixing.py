@@ -37,7 +37,7 @@ def fill(children: DataFrame, parent: list[str], budget: str, weight: str, room:
     weight the children that are filled come first, and child k is one of them just if
     its room is at most its share of what the earlier ones leave.
     """
-    order = Window.partitionBy(*parent).orderBy(F.col(room) / F.col(weight), *[c for c in LEVELS if c in children.columns])
+    order = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(F.col(room) / F.col(weight), *[c for c in LEVELS if c in children.columns])
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     later = order.rowsBetween(0, Window.unboundedFollowing)
     left = F.greatest(F.col(budget) - F.coalesce(F.sum(room).over(earlier), F.lit(0.0)), F.lit(0.0))
@@ -64,16 +64,18 @@ def budgets(leaves: DataFrame, total: float, weights: dict[str, dict[str, float]
         pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))]
         nodes = nodes.withColumn(f"_w_{level}", F.coalesce(F.create_map(*pairs)[F.col(level)], F.lit(1.0)) if pairs else F.lit(1.0))
         nodes = nodes.withColumn("_room", F.when(F.col(f"_w_{level}") > 0, F.col("_room")).otherwise(0.0))
-    given = nodes.select(F.lit(0).alias("_root")).distinct().withColumn("_budget", F.lit(float(total)))
-    path = ["_root"]
-    nodes = nodes.withColumn("_root", F.lit(0))
+    path: list[str] = []
+    given = None
     for level in LEVELS:
-        kids = nodes.groupBy(*path, level).agg(F.sum("_room").alias("_room"), F.max(f"_w_{level}").alias("_w"))
-        kids = kids.filter("_w > 0").join(given.select(*[F.col(c).alias(f"_p{c}") for c in path], "_budget"), _same(path))
-        kids = kids.drop(*[f"_p{c}" for c in path])
+        kids = nodes.groupBy(*path, level).agg(F.sum("_room").alias("_room"), F.max(f"_w_{level}").alias("_w")).filter("_w > 0")
+        if given is None:
+            # The root's budget is a number; its children, the domains, are few.
+            kids = kids.withColumn("_budget", F.lit(float(total)))
+        else:
+            kids = kids.join(given.select(*[F.col(c).alias(f"_p{c}") for c in path], "_budget"), _same(path)).drop(*[f"_p{c}" for c in path])
         given = fill(kids, path, "_budget", "_w", "_room", "_given").select(*path, level, F.col("_given").alias("_budget"))
         path = [*path, level]
-    return given.drop("_root")
+    return given
 
 
 def _same(columns: list[str]) -> Column:
@@ -91,8 +93,10 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, float]] | None = None,
     its whole self floor(B / V) times; then the documents of one more epoch, in the order
     of a hash seeded by the epoch, whose preceding tokens are under what is left: the
     shortest prefix that reaches the leaf's budget, so it is passed by less than one
-    document. Returns (key, domain, lang, source, n_tokens, epochs, leaf_budget, _h) for
-    every row, ``epochs`` 0 for those left out, where ``_h`` is a hash of the text.
+    document. Returns (key, domain, lang, source, n_tokens, epochs, leaf_budget,
+    unspent, _h) for every row, ``epochs`` 0 for those left out, where ``_h`` is a hash of
+    the text and ``unspent`` the part of the whole budget that no leaf has room for, as
+    ``max_epochs`` is reached everywhere.
 
     Null source, language or text: a null names a node of its own; no words: no tokens,
     never taken, as no budget needs it. Repeated rows are separate; their order among
@@ -104,7 +108,9 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, float]] | None = None,
     leaves = cut(base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share
-    given = leaves.withColumnsRenamed({c: f"_p{c}" for c in LEVELS}).join(budgets(leaves, budget, weights or {}, max_epochs), _same(LEVELS), "left")
+    shares = cut(budgets(leaves, budget, weights or {}, max_epochs))
+    unspent = max(0.0, float(budget) - (shares.agg(F.sum("_budget")).first()[0] or 0.0))
+    given = leaves.withColumnsRenamed({c: f"_p{c}" for c in LEVELS}).join(shares, _same(LEVELS), "left")
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(max_epochs), F.floor(F.col("_budget") / F.col("tokens")))).otherwise(0)
     given = given.select(*[F.col(f"_p{c}").alias(c) for c in LEVELS], "tokens", F.coalesce("_budget", F.lit(0.0)).alias("leaf_budget"), F.coalesce(whole, F.lit(0)).cast("int").alias("_whole"))
     given = cut(given.withColumn("_rest", F.col("leaf_budget") - F.col("tokens") * F.col("_whole")))
@@ -122,7 +128,7 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, float]] | None = None,
     passed = F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     extra = (passed < F.col("_rest")) & (F.col("n_tokens") > 0) & (F.col("_whole") < max_epochs)
     epochs = F.when(F.col("n_tokens") > 0, F.col("_whole")).otherwise(0) + F.when(extra, 1).otherwise(0)
-    return dealt.select(F.col("_key").alias(key), *LEVELS, "n_tokens", epochs.cast("int").alias("epochs"), "leaf_budget", "_h")
+    return dealt.select(F.col("_key").alias(key), *LEVELS, "n_tokens", epochs.cast("int").alias("epochs"), "leaf_budget", F.lit(unspent).alias("unspent"), "_h")
 
 
 #: Weights of the production mixture; names that are not listed weigh 1.
@@ -131,4 +137,4 @@ WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 2.0, "domain3":
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return mix(docs, weights=WEIGHTS).select("doc_id", *LEVELS, "n_tokens", "epochs", F.round("leaf_budget").cast("long").alias("leaf_budget"))
+    return mix(docs, weights=WEIGHTS).select("doc_id", *LEVELS, "n_tokens", "epochs", F.round("leaf_budget").cast("long").alias("leaf_budget"), F.round("unspent").cast("long").alias("unspent"))

@@ -199,13 +199,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     columns, a second pass carries them, as a join would have to shuffle the texts.
     """
     names = [c for c in docs.columns if c not in _OUT]
-    docs = docs.select(*names)
-    counted = measured(docs, text)
-    light = cut(measured(docs.select(*dict.fromkeys([key, stratum, text])), text).drop(text))
-    cutoffs = cut(choose_cutoffs(light, labels, key=key, stratum=stratum, alpha=alpha, delta=delta))
+    # The columns travel as one struct, so that their names meet no name used here.
+    docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(key).alias("_key"), F.col(stratum).alias("_by"), F.col(text).alias("_said"))
+    labels = labels.select(F.col(key).alias("_key"), "quality")
+    light = cut(measured(docs.select("_key", "_by", "_said"), "_said").drop("_said"))
+    cutoffs = cut(choose_cutoffs(light, labels, key="_key", stratum="_by", alpha=alpha, delta=delta))
     if set(names) <= {key, stratum, text}:
-        counted, names = light, [c for c in names if c != text]
-    return apply_cutoffs(counted, cutoffs, stratum).select(*names, *_OUT)
+        done = apply_cutoffs(light, cutoffs, "_by")
+        return done.select(*[F.col({key: "_key", stratum: "_by"}[c]).alias(c) for c in names if c != text], *_OUT)
+    return apply_cutoffs(measured(docs, "_said"), cutoffs, "_by").select("_row.*", *_OUT)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

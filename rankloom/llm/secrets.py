@@ -71,6 +71,8 @@ class BlobLedger:
 
     ``path`` lies in a store that all machines share; new scans are appended, so a scan
     that dies half-way leaves no rows (Spark commits a write at its end) and is repeated.
+    Its folders are the rule versions and, below, the blobs' first hex digits, so a scan
+    reads one version's rows only and a repair can go digit by digit.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -79,7 +81,7 @@ class BlobLedger:
     def rows(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.read.schema(_LEDGER).parquet(self.path)
+            return self.spark.read.schema(f"{_LEDGER}, digit string").parquet(self.path).drop("digit")
         return self.spark.createDataFrame([], _LEDGER)
 
     def scan(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", version: str = RULE_VERSION) -> DataFrame:
@@ -100,7 +102,7 @@ class BlobLedger:
         picked = rows.join(unseen.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")) & (F.col("blob") == F.col("_blob")), "left_semi")
         found = picked.select("blob", "text").mapInPandas(_scan(version), _LEDGER)
         # Rows equal in key and text were picked together; their findings are the same.
-        found.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
+        found.dropDuplicates(["blob"]).withColumn("digit", F.substring("blob", 1, 1)).write.mode("append").partitionBy("rule_version", "digit").parquet(self.path)
         known = self.rows().filter(F.col("rule_version") == version).drop("rule_version").dropDuplicates(["blob"])
         known = cut(known.join(paths.select("blob").distinct(), "blob", "left_semi"))
         return paths.join(known, "blob").select(F.col("_key").alias(key), "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -14,8 +14,9 @@ def shard(docs: DataFrame, n_shards: int = 8, *, stratum: str = "source", key: s
     """Deals all rows into ``n_shards`` shards that each match the mixture of strata.
 
     Rows are shuffled by a seeded hash within their stratum; a row of rank r among n has
-    the fractional rank (r + 1/2) / n; rows are ordered by it and cut into ``n_shards``
-    runs whose row counts differ by one at most. Returns key, stratum, ``size`` (UTF-8
+    the fractional rank (r + u) / n, where u in [0, 1) is a seeded hash of the stratum (so
+    that many small strata spread over all shards, instead of all at 1/2); rows are
+    ordered by it and cut into ``n_shards`` runs whose row counts differ by one at most. Returns key, stratum, ``size`` (UTF-8
     bytes plus 1), ``text_crc32``, ``shard``, and ``slot`` (the place in the shard, from
     0, without gaps).
 
@@ -27,7 +28,7 @@ def shard(docs: DataFrame, n_shards: int = 8, *, stratum: str = "source", key: s
     base = docs.select(F.col(key).alias("_key"), F.col(stratum).alias("_stratum"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     base = cut(base.withColumn("_u", F.xxhash64(F.lit(seed), "_key", "text_crc32", "size")).withColumn("_at", unit(F.col("_u"))))
     placed = ranked(base, ["_stratum"], "_at", ["_u", "_key", "text_crc32", "size"], rows)
-    placed = placed.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_size")).withColumn("_tie", F.xxhash64(F.lit(seed + 1), "_stratum"))
+    placed = placed.withColumn("_tie", F.xxhash64(F.lit(seed + 1), "_stratum")).withColumn("_f", (F.col("_rank") + unit(F.col("_tie"))) / F.col("_size"))
     placed = cut(placed.select("_key", "_stratum", "size", "text_crc32", "_u", "_f", "_tie", F.lit(0).alias("_all")))
     placed = ranked(placed, ["_all"], "_f", ["_tie", "_u", "_key", "text_crc32", "size"], rows, "_pos", "_total")
     n = F.lit(n_shards)
