@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 #: The model file, unless a path is given.
 MODEL = os.environ.get("RANKLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -415,26 +416,22 @@ def encode(docs: DataFrame, *, text: str = "text", table: PieceTable | None = No
     name = f"{len(table.pieces)}-{hash((tuple(table.pieces), table.algorithm))}"
     names = [x.split()[0] for x in _OUT.split(", ")]
     keep = [c for c in docs.columns if c not in (*names, text)]
-    kept = docs.select(*keep, text_or_empty(docs, text).alias("_text"))
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema] + [_OUT])
+    # The other columns stay in Spark: in pandas a null would turn whole numbers into doubles.
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("row"), text_or_empty(docs, text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(_OUT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(name, table)
         decoder = table.decoder()
         for batch in batches:
+            done = []
             for a in range(0, len(batch), texts_at_once):
-                part = batch.iloc[a : a + texts_at_once]
-                texts = part["_text"].tolist()
+                texts = batch.iloc[a : a + texts_at_once].tolist()
                 out = encoder.encode(texts)
-                trip = [table.decode(ids.tolist(), decoder) == t for (ids, _), t in zip(out, texts, strict=True)]
-                done = part[keep].copy()
-                done["n_pieces"] = [len(ids) for ids, _ in out]
-                done["n_viterbi"] = [n for _, n in out]
-                done["ids"] = [ids for ids, _ in out]
-                done["round_trip"] = trip
-                yield done
+                done += [(len(ids), n, ids, table.decode(ids.tolist(), decoder) == t) for (ids, n), t in zip(out, texts, strict=True)]
+            yield pd.DataFrame(done, columns=names)
 
-    return kept.mapInPandas(run, shape)
+    return rows.select("row", run("text").alias("out")).select(*[F.col("row")[c].alias(c) for c in keep], "out.*")
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", out: str = "text", table: PieceTable | None = None) -> DataFrame:
@@ -454,41 +451,193 @@ def piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
     return spark.createDataFrame([(p, i, float(s)) for i, p, s in table.normal()], "piece string, id int, score double")
 
 
-def viterbi_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """The lattice in SQL: (word) -> (word, pieces array<string>, score), the Viterbi path.
+def word_edges(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(word) -> (word, edges): the lattice of each distinct word.
 
     Substrings of up to the longest piece's length are exploded, equi-joined to the piece
-    table (broadcast: its size is the model's), grouped by word and folded over the places
-    with the higher-order aggregate. Distinct words only; null and "" give no rows. Its
-    place is a table of words: joined back to all texts it would shuffle every occurrence,
-    so :func:`encode` runs the same lattice within Arrow batches.
+    table (broadcast: its size is the model's) and grouped by word. An edge is (end, less:
+    minus its length, ids, score), in order of ends, longer ones first; a character that
+    is no piece is an edge of its fallback ids.
     """
-    spark = words.sparkSession
-    pieces = F.broadcast(piece_frame(spark, table))
+    pieces = F.broadcast(piece_frame(words.sparkSession, table))
     words = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct()
     starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("a"))
     spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.max_chars), F.length("word") - F.col("a") + 1))).alias("n"))
-    spans = spans.withColumn("piece", F.expr("substring(word, a, n)"))
-    unknown = F.when(F.col("n") == 1, F.lit(table.unknown_score()))
-    edges = spans.join(pieces, "piece", "left").withColumn("score", F.coalesce("score", unknown)).filter(F.col("score").isNotNull())
-    # In order of their ends, longer ones first: those that start earlier win ties.
-    edge = F.struct((F.col("a") + F.col("n") - 1).alias("end"), (-F.col("n")).alias("less"), "piece", "score")
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    node = "struct<score:double,pieces:array<string>>"
+    spans = spans.withColumn("piece", F.expr("substring(word, a, n)")).join(pieces, "piece", "left").filter("id IS NOT NULL OR n = 1")
+    if table.byte_ids:
+        code = F.hex(F.encode("piece", "utf-8"))
+        byte = lambda i: F.conv(F.substr(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        odd = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.element_at(F.array(*map(F.lit, table.byte_ids)), byte(i) + 1))
+    else:
+        odd = F.array(F.lit(table.unk))
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(odd)
+    edge = F.struct((F.col("a") + F.col("n") - 1).alias("end"), (-F.col("n")).alias("less"), ids.alias("ids"), F.coalesce("score", F.lit(table.unknown_score())).alias("score"), F.col("id").isNotNull().alias("known"))
+    return spans.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
+def viterbi_fold(edges: Column) -> Column:
+    """The best path of a word, struct<score, n, ids>, folded over its edges; of equal
+    paths the one whose last piece starts first. ``n`` counts pieces."""
+    node = "struct<score:double,n:int,ids:array<int>>"
 
     def step(nodes: Column, e: Column) -> Column:
         # nodes[k]: the best path over the first k characters; the last may be in the making.
         from_ = F.get(nodes, e["end"] + e["less"])
         score = from_["score"] + e["score"]
-        new = F.array(F.struct(score.alias("score"), F.concat(from_["pieces"], F.array(e["piece"])).alias("pieces")).cast(node))
+        new = F.array(F.struct(score.alias("score"), (from_["n"] + 1).alias("n"), F.concat(from_["ids"], e["ids"]).alias("ids")).cast(node))
         old = F.get(nodes, e["end"])
         return F.when(old.isNull(), F.concat(nodes, new)).when(score > old["score"], F.concat(F.slice(nodes, F.lit(1), e["end"]), new)).otherwise(nodes)
 
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("pieces")).cast(node))
-    best = F.aggregate("edges", start, step, lambda nodes: F.element_at(nodes, -1))
-    return grouped.select("word", best.alias("b")).select("word", "b.pieces", "b.score")
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids")).cast(node))
+    return F.aggregate(edges, start, step, lambda nodes: F.element_at(nodes, -1))
+
+
+def merged(lattice: DataFrame) -> DataFrame:
+    """(word, n, edges) -> adds ``ids`` by a BPE model: of all adjacent parts whose union
+    is a piece, the pair whose union scores best (the first of equals) is merged, until
+    none is. The fold takes as many steps as a word may have merges; its state are the
+    parts' bounds. Columns that a lambda reads are made in steps of their own, as Spark
+    would evaluate them again for each element.
+    """
+    place = lambda a, c: 64 * a + (c - a)
+    entry = lambda e: F.struct((64 * (e["end"] + e["less"]) - e["less"]).alias("k"), F.struct(e["score"].alias("score"), e["ids"].alias("ids"), e["known"].alias("known")).alias("v"))
+    lattice = lattice.withColumn("_found", F.map_from_entries(F.transform("edges", entry)))
+    found = F.col("_found")
+
+    def step(bounds: Column, _: Column) -> Column:
+        def pair(i: Column) -> Column:
+            union = found[place(F.get(bounds, i), F.get(bounds, i + 2))]
+            return F.struct((-union["score"]).alias("cost"), i.alias("i"))
+
+        tried = F.filter(F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), pair), lambda x: x["cost"].isNotNull())
+        best = F.when(F.size(bounds) > 2, F.array_min(tried)["i"])
+        # A fold over one element gives ``best`` a name.
+        return F.aggregate(F.array(best), bounds, lambda b, k: F.when(k.isNull(), b).otherwise(F.filter(b, lambda x, i: i != k + 1)))
+
+    bounds = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), F.sequence(F.lit(0), F.col("n")), step)
+    lattice = lattice.withColumn("_bounds", bounds)
+    parts = F.transform(F.slice("_bounds", 1, F.size("_bounds") - 1), lambda a, i: found[place(a, F.get("_bounds", i + 1))]["ids"])
+    return lattice.withColumn("ids", F.flatten(parts)).drop("_found", "_bounds")
+
+
+#: Longer words are not folded, which takes time by their square, but encoded with a heap.
+FOLD = 32
+#: Code points of the texts that share a dictionary, about.
+BLOCK_CHARS = 1 << 24
+
+
+class Cutter:
+    """Cuts texts where no piece reaches over: between characters that are neighbours in no
+    piece. No edge and no merge crosses such a place."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+        pairs = np.array(sorted({(ord(p[i]) << 21) | ord(p[i + 1]) for _, p, _ in table.normal() for i in range(len(p) - 1)}), np.uint64)
+        self.bits = 18
+        while len(np.unique(self._at(pairs))) < len(pairs) and self.bits < 26:
+            self.bits += 1
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.keys[self._at(pairs)] = pairs
+        self.more = np.setdiff1d(pairs, self.keys)
+
+    def _at(self, pairs: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pairs * _MUL) >> _U(64 - self.bits)
+
+    def __call__(self, text: str) -> list[str]:
+        text = self.table.normalized(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if not len(codes):
+            return []
+        pairs = (codes[:-1] << _U(21)) | codes[1:]
+        joined = self.keys[self._at(pairs)] == pairs
+        if len(self.more):
+            joined |= np.isin(pairs, self.more)
+        ends = np.flatnonzero(~joined) + 1
+        return [text[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(text)], strict=True)]
+
+
+def encode_relational(docs: DataFrame, *, text: str = "text", table: PieceTable | None = None) -> DataFrame:
+    """The results of :func:`encode` by the relational lattice.
+
+    Texts are dealt to blocks as they lie in the input (BLOCK_CHARS each). The distinct
+    words of each block are collected in one pass; all distinct words together get their
+    lattices (:func:`word_edges`), which are folded by Viterbi (:func:`viterbi_fold`) and,
+    for a BPE model, by its merges (:func:`merged`); their ids are joined back to the
+    blocks, and each block's dictionary meets its texts. Columns, nulls and empties as in
+    :func:`encode`. Words of more than FOLD characters are encoded with a heap where
+    their text is. A block that a lost executor deals anew finds its new words so too.
+    """
+    table = table or PieceTable.load()
+    names = [x.split()[0] for x in _OUT.split(", ")]
+    keep = [c for c in docs.columns if c not in (*names, text)]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("row"), text_or_empty(docs, text).alias("text"), F.monotonically_increasing_id().alias("at"))
+    size = F.ceil(F.log2(F.length("text") + 1)).cast("int")
+    rows = F.greatest(F.lit(1), (F.lit(BLOCK_CHARS) / F.pow(F.lit(2.0), size)).cast("long"))
+    block = F.xxhash64(F.shiftright("at", 33), size, F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / rows))
+    base = base.select(block.alias("block"), "row", "text")
+
+    def words_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cutter, held, size = Cutter(table), {}, 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            for b, ws in held.items():
+                if ws:
+                    yield pd.DataFrame({"block": b, "word": sorted(ws)})
+
+        for batch in batches:
+            for b, t in zip(batch["block"], batch["text"], strict=True):
+                own = held.setdefault(b, set())
+                before = len(own)
+                own.update(w for w in cutter(t) if len(w) <= FOLD)
+                size += len(own) - before
+                if size > CACHE_WORDS:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
+
+    words = cut(base.select("block", "text").mapInPandas(words_of_blocks, "block long, word string"))
+    lattice = word_edges(words, table).withColumn("n", F.length("word")).withColumn("best", viterbi_fold(F.col("edges")))
+    if table.algorithm == BPE:
+        lattice = merged(lattice.withColumn("n_viterbi", F.col("best.n")))
+    else:
+        lattice = lattice.select("word", F.col("best.n").alias("n_viterbi"), F.col("best.ids").alias("ids"))
+    known = cut(lattice.select("word", "n_viterbi", "ids"))
+    dictionary = words.join(known, "word")
+    out_names = [*keep, *names]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cutter, lattice = Cutter(table), _encoder(f"{len(table.pieces)}-{table.algorithm}", table).lattice
+        ids = right.column("ids").combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]) if len(ids) else np.zeros(1, np.int64)
+        heads = np.negative(right.column("n_viterbi").to_numpy().astype(np.int32))
+        known = {w: heads[i : i + 1].tobytes() + flat[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(right.column("word").to_pylist())}
+        decoder = table.decoder()
+        counts, vit, flats, trips = [], [], [], []
+        for t in left.column("text").to_pylist():
+            parts = cutter(t)
+            new = sorted({w for w in parts if w not in known})
+            if new:
+                blobs, n = lattice.encode(new)
+                known.update((w, np.array([-k], np.int32).tobytes() + b) for w, b, k in zip(new, blobs, n, strict=True))
+            found = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
+            head = found < 0
+            own = found[~head]
+            counts.append(len(own))
+            vit.append(-int(found[head].sum()))
+            flats.append(own)
+            trips.append(table.decode(own.tolist(), decoder) == t)
+        row = left.column("row").combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        columns = [row.field(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(vit, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats) if flats else np.empty(0, np.int32))), pa.array(trips, pa.bool_())]
+        return pa.Table.from_arrays(columns, names=out_names)
+
+    shape = docs.select(*keep).schema
+    for field in docs.sparkSession.createDataFrame([], _OUT).schema:
+        shape = shape.add(field)
+    return base.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, shape)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs)
+    return encode_relational(docs)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import ann, chat, lines, mixing, pieces, queries, sharding
 
@@ -164,8 +165,26 @@ def test_viterbi_equals_brute_force_in_both_engines(spark, table):
         assert np.frombuffer(blob, np.int32).tolist() == [x for p in path for x in ([ids[p]] if p in ids else unigram.fallback(p))]
         assert n == len(path)
     frame = spark.createDataFrame([(w,) for w in [*words, None, ""]], "word string")
-    got = {r["word"]: r for r in pieces.viterbi_words(frame, unigram).collect()}
-    assert {w: (r["pieces"], r["score"]) for w, r in got.items()} == {w: (p, s) for w, (s, p) in want.items()}
+    folded = pieces.word_edges(frame, unigram).withColumn("best", pieces.viterbi_fold(F.col("edges")))
+    got = {r["word"]: (r["best"]["ids"], r["best"]["score"], r["best"]["n"]) for r in folded.collect()}
+    assert got == {w: ([x for q in p for x in ([ids[q]] if q in ids else unigram.fallback(q))], s, len(p)) for w, (s, p) in want.items()}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_relational_lattice_equals_the_library(spark, table, partitions):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    common = "the house probability of unbelievable segmentation quickly mathematics disagreement"
+    texts = [*TEXTS, common, "x" * 300, common, "y" * 300 + " z"] + [t for _, t, *_ in corpus()]
+    rows = spark.createDataFrame([(2**53 + 1 + i if i % 5 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, block int").repartition(partitions)
+    got = {r["block"]: r for r in pieces.encode_relational(rows, table=table).collect()}
+    plain = {r["block"]: r for r in pieces.encode(rows, table=table).collect()}
+    assert got == plain
+    for i, t in enumerate(texts):
+        assert got[i]["ids"] == library.encode(t or ""), t
+        assert got[i]["doc_id"] == (2**53 + 1 + i if i % 5 else None)
+    assert pieces.encode_relational(rows.limit(0), table=table).count() == 0
 
 
 # Chat.
