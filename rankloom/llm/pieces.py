@@ -485,8 +485,8 @@ def viterbi_fold(edges: Column) -> Column:
         from_ = F.get(nodes, e["end"] + e["less"])
         score = from_["score"] + e["score"]
         new = F.array(F.struct(score.alias("score"), (from_["n"] + 1).alias("n"), F.concat(from_["ids"], e["ids"]).alias("ids")).cast(node))
-        old = F.get(nodes, e["end"])
-        return F.when(old.isNull(), F.concat(nodes, new)).when(score > old["score"], F.concat(F.slice(nodes, F.lit(1), e["end"]), new)).otherwise(nodes)
+        last = F.size(nodes) <= e["end"]
+        return F.when(last, F.concat(nodes, new)).when(score > F.get(nodes, e["end"])["score"], F.concat(F.slice(nodes, F.lit(1), e["end"]), new)).otherwise(nodes)
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids")).cast(node))
     return F.aggregate(edges, start, step, lambda nodes: F.element_at(nodes, -1))
@@ -522,8 +522,9 @@ def merged(lattice: DataFrame) -> DataFrame:
 
 #: Longer words are not folded, which takes time by their square, but encoded with a heap.
 FOLD = 32
-#: Code points of the texts that share a dictionary, about.
-BLOCK_CHARS = 1 << 24
+#: Code points of the texts that share a dictionary, at most, but for one longer text; texts
+#: of up to SHORT are dealt alike, longer ones by their length's power of two.
+BLOCK_CHARS, SHORT = 1 << 25, 13
 
 
 class Cutter:
@@ -572,7 +573,7 @@ def encode_relational(docs: DataFrame, *, text: str = "text", table: PieceTable
     names = [x.split()[0] for x in _OUT.split(", ")]
     keep = [c for c in docs.columns if c not in (*names, text)]
     base = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("row"), text_or_empty(docs, text).alias("text"), F.monotonically_increasing_id().alias("at"))
-    size = F.ceil(F.log2(F.length("text") + 1)).cast("int")
+    size = F.greatest(F.lit(SHORT), F.ceil(F.log2(F.length("text") + 1)).cast("int"))
     rows = F.greatest(F.lit(1), (F.lit(BLOCK_CHARS) / F.pow(F.lit(2.0), size)).cast("long"))
     block = F.xxhash64(F.shiftright("at", 33), size, F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / rows))
     base = base.select(block.alias("block"), "row", "text")
