@@ -460,7 +460,10 @@ def word_edges(words: DataFrame, table: PieceTable) -> DataFrame:
     is no piece is an edge of its fallback ids.
     """
     pieces = F.broadcast(piece_frame(words.sparkSession, table))
-    words = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct()
+    words = words.select("word").filter("word IS NOT NULL AND word <> ''")
+    # Few words a task, so that their edges are grouped in memory.
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS_A_TASK))
+    words = words.repartition(parts, "word").distinct()
     starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("a"))
     spans = starts.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.max_chars), F.length("word") - F.col("a") + 1))).alias("n"))
     spans = spans.withColumn("piece", F.expr("substring(word, a, n)")).join(pieces, "piece", "left").filter("id IS NOT NULL OR n = 1")
@@ -520,6 +523,8 @@ def merged(lattice: DataFrame) -> DataFrame:
     return lattice.withColumn("ids", F.flatten(parts)).drop("_found", "_bounds")
 
 
+#: Words, with repeats in other blocks, whose lattices are made in one task, about.
+WORDS_A_TASK = 50_000
 #: Longer words are not folded, which takes time by their square, but encoded with a heap.
 FOLD = 32
 #: Code points of the texts that share a dictionary, at most, but for one longer text; texts
