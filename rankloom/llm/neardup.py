@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import BROADCAST_ROWS, cut, words_of
 from .components import components
 from .hashing import mix, tidy, window_hashes, word_hashes
 
@@ -136,6 +136,13 @@ def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
     return (x == y).mean(axis=1)
 
 
+def needed(sigs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sigs`` that ``ids`` (cid) name: few ids, counted first, are sent to the
+    signatures, so that these are not shuffled for them."""
+    ids = ids.distinct()
+    return sigs.join(F.broadcast(ids), "cid", "left_semi") if ids.count() <= BROADCAST_ROWS else sigs
+
+
 def estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their estimated similarity ``est``."""
 
@@ -143,6 +150,8 @@ def estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(_agreement(a, b))
 
+    pairs = cut(pairs.distinct())
+    sigs = needed(sigs, pairs.select(F.explode(F.array("a", "b")).alias("cid")))
     of = lambda c: sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agreement("_a", "_b").alias("est"))
 
@@ -155,7 +164,7 @@ def close_in_blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
     task of their own, so no task holds a large bucket.
     """
     sized = members.withColumn("_blocks", F.ceil(2 * F.col("n") / SIGNATURES).cast("int")).withColumn("_block", F.pmod(F.xxhash64("cid"), "_blocks").cast("int"))
-    sized = sized.join(sigs.select("cid", "sig"), "cid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sized = sized.join(needed(sigs.select("cid", "sig"), members.select("cid")), "cid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = sized.select("bucket", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "cid", "sig")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +204,7 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
     for turn in range(ROUNDS):
         centres = members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "centre")
         near = cut(members.join(cut(centres), "bucket").filter("cid <> centre").select("bucket", F.col("cid").alias("a"), F.col("centre").alias("b")))
-        known = cut(estimated(near.select("a", "b").distinct(), sigs))
+        known = cut(estimated(near.select("a", "b"), sigs))
         tidy(spark)
         found(known.filter(F.col("est") >= PASS).select("a", "b"))
         if not known.filter(F.col("est") < PASS).head(1):
@@ -207,7 +216,7 @@ def candidate_edges(sigs: DataFrame) -> DataFrame:
         few = left.filter(F.col("n") <= PAIRS)
         pairs = few.select("bucket", F.col("cid").alias("a")).join(few.select(F.col("bucket").alias("_k"), F.col("cid").alias("b")), (F.col("bucket") == F.col("_k")) & (F.col("a") < F.col("b")))
         # Cut, so that the union of all turns stays a small plan for the driver.
-        found(cut(estimated(pairs.select("a", "b").distinct(), sigs).filter(F.col("est") >= APART).select("a", "b")))
+        found(cut(estimated(pairs.select("a", "b"), sigs).filter(F.col("est") >= APART).select("a", "b")))
         tidy(spark)
         many = left.filter(F.col("n") > PAIRS)
         if not many.head(1):

@@ -19,7 +19,7 @@ WIDTH = 35
 #: Words of the first level's windows; each level doubles them up to WIDTH.
 ANCHOR = 8
 #: Hashes in a row of a level's table, about; a document and eight bytes of its text count as one.
-PER_ROW = 200_000
+PER_ROW = 100_000
 #: A second, independent hash of words.
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -74,9 +74,9 @@ def _scan(width: int, anchor: int):
         out: list[tuple] = []
         size = 0
         for batch in batches:
-            # Arrow's lists keep keys whole numbers beside nulls, which pandas would not.
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
+            # Arrow's values keep keys whole numbers beside nulls, which pandas would not.
+            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                key, words = key.as_py(), words_of(text.as_py())
                 said = hashlib.sha256(b" ".join(words)).digest()
                 hashes = word_hashes(words)
                 places = np.unique(anchors_of(hashes, width, anchor)) if len(words) >= width else np.empty(0, np.int64)
