@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import matrix
+from ..session import cut
 from . import ranking
 
 
@@ -20,6 +21,8 @@ class Recommender:
     """
 
     serves_unknown_users = False
+    #: Whether ``score`` leaves out blocked pairs and items that are no candidates itself.
+    filters = False
 
     def __init__(self, **params: Any):
         self.params = params
@@ -47,8 +50,12 @@ class Recommender:
 
     # Shared.
     def fit(self, log: DataFrame) -> Recommender:
-        self.tables = {"r": matrix(log)}
-        self.fit_matrix(self.tables["r"])
+        return self.fit_on(cut(matrix(log)))
+
+    def fit_on(self, r: DataFrame) -> Recommender:
+        """Fits on a matrix that is computed already, which several models can share."""
+        self.tables = {"r": r}
+        self.fit_matrix(r)
         return self
 
     @property
@@ -80,12 +87,13 @@ class Recommender:
         blocked = self.r.select("user_id", "item_id") if exclude_seen else None
         if exclude is not None:
             pairs = exclude.select("user_id", "item_id")
-            blocked = pairs if blocked is None else blocked.unionByName(pairs)
+            blocked = (pairs if blocked is None else blocked.unionByName(pairs)).distinct()
         if blocked is not None:
-            blocked = blocked.join(queries.select("user_id").distinct(), "user_id", "left_semi").distinct()
+            blocked = blocked.join(queries.select("user_id").distinct(), "user_id", "left_semi")
         self._restricted = candidates
         scored = self.score(self.served(queries), k, blocked)
-        scored = ranking.exclude(ranking.restrict(scored, candidates), blocked)
+        if not self.filters:
+            scored = ranking.exclude(ranking.restrict(scored, candidates), blocked)
         best = ranking.top_k(scored, k).select("qid", "user_id", "rank", "item_id", "score")
         if strict:
             ranking.require_full(best, queries, k)
@@ -116,11 +124,15 @@ class Recommender:
 class SimilarityRecommender(Recommender):
     """Models of item-item edges (table ``s``: i, j, w): score(u, j) = sum of r(u, i) w(i, j).
 
+    ``s`` is computed once by :meth:`fit` and read by all that follows.
+
     Items that no edge reaches score exactly 0 and compete as such. With the parameter
     ``units`` weights are rounded to multiples of 1 / units: with whole-numbered values
     their sums are then exact, so scores and ties do not depend on the order of summation.
     """
 
+    filters = True
+
     def _sum(self, r: Column, w: Column) -> Column:
         units = self.params.get("units")
         return F.sum(r * w) if units is None else F.sum(r * F.floor(w * F.lit(float(units)) + F.lit(0.5))) / F.lit(float(units))
@@ -134,7 +146,17 @@ class SimilarityRecommender(Recommender):
         return joined.groupBy("qid", "user_id", "j").agg(self._sum(F.col("r"), F.col("w")).alias("score")).withColumnRenamed("j", "item_id")
 
     def score(self, queries: DataFrame, k: int, blocked: DataFrame | None) -> DataFrame:
-        return ranking.zero_fill(queries, self.reached(queries), self.pool(), k, blocked)
+        """The best k that are reached; only for queries with fewer than k scores above 0 do
+        untouched items compete, so only these look at the item list."""
+        queries = queries.select("qid", "user_id").distinct()
+        best = cut(ranking.top_k(ranking.exclude(self.reached(queries), blocked), k).drop("rank"))
+        full = best.filter("score > 0").groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select("qid")
+        short = cut(queries.join(full, "qid", "left_anti"))
+        if not short.head(1):
+            return best
+        reached = cut(self.reached(short))
+        filled = ranking.exclude(ranking.zero_fill(short, reached, self.pool(), k, blocked), blocked)
+        return best.join(full, "qid", "left_semi").select("qid", "user_id", "item_id", "score").unionByName(filled)
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """Adds ``score`` to (user_id, item_id): null for unknown users and items."""

@@ -58,6 +58,8 @@ def factor_top_k(queries: DataFrame, items: DataFrame, k: int, blocked: DataFram
 class FactorRecommender(Recommender):
     """Tables ``users`` (user_id, v, bias) and ``items`` (item_id, v, bias)."""
 
+    filters = True
+
     def offset(self) -> float:
         return 0.0
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .base import SimilarityRecommender
 
 
@@ -43,15 +44,19 @@ class ItemKNN(SimilarityRecommender):
         super().__init__(n_neighbors=n_neighbors, shrink=shrink, units=units)
 
     def fit_matrix(self, r: DataFrame) -> None:
-        self.tables["s"] = strongest(cosine_edges(r, self.shrink), "j", "i", self.n_neighbors)
+        self.tables["s"] = cut(strongest(cosine_edges(r, self.shrink), "j", "i", self.n_neighbors))
 
 
 def bm25_weights(r: DataFrame, k1: float, b: float) -> DataFrame:
-    """(user_id, item_id, x): BM25 with users as documents and items as terms."""
-    users = r.groupBy("user_id").agg(F.sum("r").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    whole = r.agg(F.countDistinct("item_id").cast("double").alias("_items")).join(users.agg(F.avg("_sum").alias("_mean")))
-    users = users.join(F.broadcast(whole)).select("user_id", (F.lit(1.0 - b) + F.lit(float(b)) * F.col("_sum") / F.col("_mean")).alias("_l"), (F.ln("_items") - F.log1p(F.col("_n").cast("double"))).alias("_idf"))
-    return r.join(users, "user_id").select("user_id", "item_id", (F.col("r") * (k1 + 1) / (F.lit(float(k1)) * F.col("_l") + F.col("r")) * F.col("_idf")).alias("x"))
+    """(user_id, item_id, x): BM25 with items as documents, as long as their values' sum, and
+    users as terms. ``r`` is read three times and should be computed already."""
+    items = r.groupBy("item_id").agg(F.sum("r").alias("_sum"))
+    users = r.groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    n, mean = items.agg(F.count(F.lit(1)).cast("double"), F.avg("_sum")).first()
+    items = items.select("item_id", (F.lit(1.0 - b) + F.lit(float(b)) * F.col("_sum") / F.lit(mean)).alias("_l"))
+    users = users.select("user_id", (F.ln(F.lit(n)) - F.log1p("_n")).alias("_idf"))
+    joined = r.join(items, "item_id").join(users, "user_id")
+    return joined.select("user_id", "item_id", (F.col("r") * (k1 + 1) / (F.lit(float(k1)) * F.col("_l") + F.col("r")) * F.col("_idf")).alias("x"))
 
 
 class BM25(SimilarityRecommender):
@@ -62,13 +67,13 @@ class BM25(SimilarityRecommender):
         super().__init__(n_neighbors=n_neighbors, k1=k1, b=b, units=units)
 
     def fit_matrix(self, r: DataFrame) -> None:
-        x = bm25_weights(r, self.k1, self.b)
+        x = cut(bm25_weights(r, self.k1, self.b))
         if self.units is None:
             edges = gram(x, "x").withColumnRenamed("dot", "w")
         else:
             whole = x.withColumn("x", F.floor(F.col("x") * self.units + F.lit(0.5)).cast("double"))
             edges = gram(whole, "x").withColumn("w", F.col("dot") / F.lit(float(self.units) ** 2)).drop("dot")
-        self.tables["s"] = strongest(edges.filter("w <> 0"), "i", "j", self.n_neighbors)
+        self.tables["s"] = cut(strongest(edges.filter("w <> 0"), "i", "j", self.n_neighbors))
 
 
 def walk_edges(r: DataFrame, alpha: float, beta: float, units: float | None = None) -> DataFrame:
@@ -104,5 +109,5 @@ class RP3Beta(SimilarityRecommender):
         super().__init__(n_neighbors=n_neighbors, alpha=alpha, beta=beta, normalize_similarity=normalize_similarity, units=units)
 
     def fit_matrix(self, r: DataFrame) -> None:
-        self.tables["walk"] = walk_edges(r, self.alpha, self.beta, self.units)
-        self.tables["s"] = pruned_walk(self.tables["walk"], self.n_neighbors, self.normalize_similarity, self.units)
+        self.tables["walk"] = cut(walk_edges(r, self.alpha, self.beta, self.units))
+        self.tables["s"] = cut(pruned_walk(self.tables["walk"], self.n_neighbors, self.normalize_similarity, self.units))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import ranking
 from .base import Recommender
 
@@ -43,20 +44,19 @@ class MostPopular(Recommender):
             if table.filter(shown <= 0).head(1):
                 raise ValueError("exposure plus smoothing must be positive")
             table = table.select("item_id", (F.col("pop") / shown).alias("pop"))
-        self.tables["pop"] = table
+        self.tables["pop"] = cut(table)
 
     def score(self, queries: DataFrame, k: int, blocked: DataFrame | None) -> DataFrame:
-        # A query with n blocked items finds its k best among the first k + n; lists are
-        # met by rank, so users are never crossed with the catalogue.
-        pool = self.tables["pop"].join(self.pool(), "item_id", "left_semi").withColumn("qid", F.lit(0))
+        # A query with n blocked items finds its k best among the first k + n.
+        pool = self.tables["pop"].withColumnRenamed("pop", "score")
+        if self.__dict__.get("_restricted") is not None:
+            pool = pool.join(self.pool(), "item_id", "left_semi")
         need = queries.select("qid", "user_id")
         if blocked is None:
             need = need.withColumn("_t", F.lit(0))
         else:
-            need = need.join(blocked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_t")), "user_id", "left")
-        need = need.withColumn("rank", F.explode(F.sequence(F.lit(1), (F.coalesce("_t", F.lit(0)) + k).cast("int"))))
-        best = ranking.rank_rows(pool, F.desc("pop"), F.asc("item_id")).select("rank", "item_id", F.col("pop").alias("score"))
-        return need.join(best, "rank").select("qid", "user_id", "item_id", "score")
+            need = need.join(blocked.groupBy("user_id").agg(F.count(F.lit(1)).alias("_t")), "user_id", "left").fillna(0, ["_t"])
+        return ranking.first_places(need, pool, [F.desc("score"), F.asc("item_id")], k)
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         known = self.users().withColumn("_u", F.lit(True))

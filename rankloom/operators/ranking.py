@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +23,7 @@ def restrict(scored: DataFrame, candidates: DataFrame | None) -> DataFrame:
 
 def exclude(scored: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """Without ``pairs`` (user_id, item_id), for every query of that user."""
-    return scored if pairs is None else scored.join(pairs.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    return scored if pairs is None else scored.join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
 def not_taken(scored: DataFrame, taken: DataFrame) -> DataFrame:
@@ -40,21 +42,43 @@ def rank_rows(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFra
     return df.withColumn(out, F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
 
+#: The first places of a list go to all tasks as one array, up to this length.
+PREFIX = 100_000
+
+
+def first_places(need: DataFrame, items: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
+    """(qid, user_id, item_id, score): for each query of ``need`` (qid, user_id, _t) the first
+    ``_t`` + k of ``items`` (item_id, score) in ``order``.
+
+    Only as many places are ranked as the longest of these lists has. Up to PREFIX of them
+    each query takes its slice of one array; beyond that queries and places meet by rank.
+    """
+    most = int(need.agg(F.max("_t")).first()[0] or 0) + k
+    first = items.select("item_id", "score").orderBy(*order).limit(most)
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    if most > PREFIX:
+        need = need.withColumn("_n", F.explode(F.sequence(F.lit(1), (F.col("_t") + k).cast("int"))))
+        return need.join(first, "_n").select("qid", "user_id", "item_id", "score")
+    whole = first.agg(F.array_sort(F.collect_list(F.struct("_n", "item_id", "score"))).alias("_list"))
+    met = need.join(F.broadcast(whole)).withColumn("_e", F.explode(F.slice("_list", F.lit(1), (F.col("_t") + k).cast("int"))))
+    return met.select("qid", "user_id", "_e.item_id", "_e.score")
+
+
 def zero_fill(queries: DataFrame, reached: DataFrame, items: DataFrame, k: int, blocked: DataFrame | None = None) -> DataFrame:
     """``reached`` (qid, user_id, item_id, score) with items that score exactly 0 because
     nothing reached them: the first k of each query in item order that are neither
     reached nor ``blocked`` (user_id, item_id).
 
     Among the first k + n items, n of them reached or blocked, k are left; so each query
-    meets a prefix of the item list by rank: an equi-join, no cross join.
+    takes a prefix of the item list (:func:`first_places`). ``reached`` is read twice.
     """
-    ranks = items.select("item_id").distinct().withColumn("_n", F.row_number().over(Window.orderBy("item_id")))
     taken = reached.select("qid", "item_id")
     if blocked is not None:
         taken = taken.unionByName(queries.select("qid", "user_id").join(blocked.select("user_id", "item_id"), "user_id").select("qid", "item_id")).distinct()
     counts = taken.groupBy("qid").agg(F.count(F.lit(1)).alias("_t"))
-    need = queries.select("qid", "user_id").distinct().join(counts, "qid", "left").withColumn("_n", F.explode(F.sequence(F.lit(1), (F.coalesce("_t", F.lit(0)) + k).cast("int"))))
-    zeros = not_taken(need.join(ranks, "_n").select("qid", "user_id", "item_id"), taken).withColumn("score", F.lit(0.0))
+    need = queries.select("qid", "user_id").distinct().join(counts, "qid", "left").fillna(0, ["_t"])
+    zeros = first_places(need, items.select("item_id").distinct().withColumn("score", F.lit(0.0)), ["item_id"], k)
+    zeros = not_taken(zeros, taken)
     return reached.select("qid", "user_id", "item_id", "score").unionByName(top_k(zeros, k).drop("rank"))
 
 

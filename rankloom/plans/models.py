@@ -11,8 +11,9 @@ from ..operators.linear import EASE, SLIM
 from ..operators.neighbours import BM25, ItemKNN, RP3Beta
 from ..operators.popular import MostPopular
 from ..schema import matrix
+from ..session import cut
 from ..sources.tables import table
-from .registry import BY, all_users, log, query, top, whole_too
+from .registry import BY, all_users, log, query, top
 
 K = 10
 N = 20
@@ -117,29 +118,25 @@ def zero_fill_topk(spark, d):
     return _out(ItemKNN(2, units=UNITS).fit(x).recommend(all_users(x), K))
 
 
-#: The users of the SQL; the queries NAME_all ask for all.
-TENTH, THIRD = "user_id % 10 = 0", "user_id % 3 = 0"
+def _pairs(x: DataFrame) -> DataFrame:
+    return x.select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct()
 
 
-def _pairs(x: DataFrame, who: str) -> DataFrame:
-    return x.filter(who).select("user_id", (F.col("item_id") + 1).alias("item_id")).distinct()
-
-
-_PAIRS = """, pairs AS (SELECT DISTINCT user_id, item_id + 1 AS item_id FROM log WHERE user_id % 10 = 0)"""
+_PAIRS = """, pairs AS (SELECT DISTINCT user_id, item_id + 1 AS item_id FROM log)"""
 _PREDICT = _PAIRS + """, reached AS (SELECT r.user_id, s.j AS item_id, sum(r.r * floor(s.w * 1e9::DOUBLE + 0.5::DOUBLE)) / 1e9::DOUBLE AS score FROM r JOIN s ON r.item_id = s.i GROUP BY 1, 2)
 SELECT p.user_id, p.item_id, CASE WHEN p.item_id IN (SELECT item_id FROM items) THEN coalesce(x.score, 0.0::DOUBLE) END AS score
 FROM pairs p LEFT JOIN reached x ON x.user_id = p.user_id AND x.item_id = p.item_id"""
 
 
-@whole_too(_KNN.format(n=N) + _PREDICT, TENTH)
-def itemknn_predict(spark, d, who):
+@query(_KNN.format(n=N) + _PREDICT)
+def itemknn_predict(spark, d):
     x = log(spark, d)
-    return ItemKNN(N, units=UNITS).fit(x).predict(_pairs(x, who)).select("user_id", "item_id", "score")
+    return ItemKNN(N, units=UNITS).fit(x).predict(_pairs(x)).select("user_id", "item_id", "score")
 
 
-_BM25 = """, u AS (SELECT user_id, sum(r) AS s, count(*) AS n FROM r GROUP BY 1),
-m AS (SELECT avg(s) AS mean, (SELECT count(*) FROM items)::DOUBLE AS items FROM u),
-x AS (SELECT r.user_id, r.item_id, r.r * 2.2::DOUBLE / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * u.s / m.mean) + r.r) * (ln(m.items) - ln(1 + u.n::DOUBLE)) AS x FROM r JOIN u USING (user_id) CROSS JOIN m)"""
+_BM25 = """, u AS (SELECT user_id, count(*) AS n FROM r GROUP BY 1), l AS (SELECT item_id, sum(r) AS s FROM r GROUP BY 1),
+m AS (SELECT avg(s) AS mean, count(*)::DOUBLE AS items FROM l),
+x AS (SELECT r.user_id, r.item_id, r.r * 2.2::DOUBLE / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.s / m.mean) + r.r) * (ln(m.items) - ln(1 + u.n::DOUBLE)) AS x FROM r JOIN u USING (user_id) JOIN l USING (item_id) CROSS JOIN m)"""
 _BM25_S = _BM25 + """, q AS (SELECT user_id, item_id, floor(x * 1e4::DOUBLE + 0.5::DOUBLE) AS x FROM x),
 w AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.x * b.x) / 1e8::DOUBLE AS w FROM q a JOIN q b ON a.user_id = b.user_id GROUP BY 1, 2),
 s AS (SELECT i, j, w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS n FROM w WHERE w <> 0) WHERE n <= 20)"""
@@ -148,7 +145,7 @@ _BM25_SCORED = _SCORED.replace("1e9::DOUBLE", "1e4::DOUBLE")
 
 @query(_BM25 + " SELECT user_id, item_id, round(x, 6) AS x FROM x")
 def bm25_weights(spark, d):
-    return neighbours.bm25_weights(matrix(log(spark, d)), 1.2, 0.75).select("user_id", "item_id", F.round("x", 6).alias("x"))
+    return neighbours.bm25_weights(cut(matrix(log(spark, d))), 1.2, 0.75).select("user_id", "item_id", F.round("x", 6).alias("x"))
 
 
 @query(_BM25_S + " SELECT i, j, w FROM s")

@@ -46,19 +46,6 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-def whole_too(sql: str, who: str) -> Callable[[Callable[[SparkSession, str, str], DataFrame]], Query]:
-    """Registers a function (spark, sf_dir, filter) twice: for the users of ``who``, whom its
-    SQL names, and under NAME_all for all users, with the SQL less that filter."""
-    where = f" WHERE {who}"
-    assert where in sql
-
-    def add(f: Callable[[SparkSession, str, str], DataFrame]) -> Query:
-        query(sql.replace(where, ""), f"{f.__name__}_all")(lambda spark, sf_dir: f(spark, sf_dir, "true"))
-        return query(sql, f.__name__)(lambda spark, sf_dir: f(spark, sf_dir, who))
-
-    return add
-
-
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purchases(spark, sf_dir)
 

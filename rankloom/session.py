@@ -33,6 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)

@@ -94,8 +94,8 @@ def test_similarities_equal_dense_algebra(spark):
     cosine = g / (np.sqrt(np.diag(g))[:, None] * np.sqrt(np.diag(g))[None, :] + 3.0)
     np.fill_diagonal(cosine, 0)
     assert np.allclose(dense(ItemKNN(None, 3.0).fit(log).tables["s"], 15), cosine)
-    length = 0.25 + 0.75 * x.sum(1) / x.sum(1).mean()
-    w = x * 2.2 / (1.2 * length[:, None] + x) * (math.log(15) - np.log1p((x > 0).sum(1)))[:, None]
+    length = 0.25 + 0.75 * x.sum(0) / x.sum(0).mean()
+    w = x * 2.2 / (1.2 * length[None, :] + x) * (math.log(15) - np.log1p((x > 0).sum(1)))[:, None]
     assert np.allclose(dense(BM25(None).fit(log).tables["s"], 15), w.T @ w)
     p = x / x.sum(1, keepdims=True)
     pop = (x > 0).sum(0)

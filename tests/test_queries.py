@@ -40,10 +40,10 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", ["join_static", "avg_rank"])
-def test_queries_of_some_users_have_one_of_all(spark, sf_dir, name):
+def test_queries_of_pairs_and_groups_ask_for_all_users(spark, sf_dir, name):
     column = "qid" if name == "avg_rank" else "user_id"
     users = {r[0] for r in registry.log(spark, sf_dir).select("user_id").distinct().collect()}
-    asked = {r[0] for r in registry.QUERIES[f"{name}_all"](spark, sf_dir).select(column).distinct().collect()}
+    asked = {r[0] for r in registry.QUERIES[name](spark, sf_dir).select(column).distinct().collect()}
     assert asked == users
 
 
