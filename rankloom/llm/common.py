@@ -76,6 +76,16 @@ def unit(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def digest(*columns: Column) -> Column:
+    """MD5 of the columns' texts, which other engines compute alike; null is "null"."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns]))
+
+
+def digest_unit(hexed: Column) -> Column:
+    """The first 52 bits of a digest as a double in [0, 1)."""
+    return F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def ranked(df: DataFrame, group: list[str], spread: str, order: list[str], rows: int = 2048, out: str = "_rank", size: str = "_size") -> DataFrame:
     """0-based ranks within ``group``, without a task that holds a whole group.
 

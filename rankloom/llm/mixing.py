@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, cut, text_or_empty, unit
+from .common import attach, cut, digest, digest_unit, text_or_empty
 
 SEED = 7_031
 #: Documents are taken from a leaf at most so many times.
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, float]] | None = None,
     given = given.select(*[F.col(f"_p{c}").alias(c) for c in LEVELS], "tokens", F.coalesce("_budget", F.lit(0.0)).alias("leaf_budget"), F.coalesce(whole, F.lit(0)).cast("int").alias("_whole"))
     given = cut(given.withColumn("_rest", F.col("leaf_budget") - F.col("tokens") * F.col("_whole")))
     dealt = attach(base, given, LEVELS)
-    dealt = dealt.withColumn("_u", F.xxhash64(F.lit(seed), "_whole", "_key", "_h")).withColumn("_at", unit(F.col("_u")))
+    dealt = dealt.withColumn("_u", digest(F.lit(seed), F.col("_whole"), F.col("_key"), F.col("n_tokens"))).withColumn("_at", digest_unit(F.col("_u")))
     dealt = cut(dealt)
     # A running sum of tokens by ranges of the shuffled order: ranges before, then within.
     sizes = cut(dealt.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("_size")))
@@ -138,3 +138,38 @@ WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 2.0, "domain3":
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return mix(docs, weights=WEIGHTS).select("doc_id", *LEVELS, "n_tokens", "epochs", F.round("leaf_budget").cast("long").alias("leaf_budget"), F.round("unspent").cast("long").alias("unspent"))
+
+
+def _sql() -> str:
+    """DuckDB: the tree's levels by windows, then running sums of tokens in each leaf."""
+    weight = lambda level: "CASE " + level + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.get(level, {"": 1.0}).items()) + " ELSE 1.0 END::DOUBLE"
+    parts, path = [], []
+    for level in LEVELS:
+        here = [*path, level]
+        names, by = ", ".join(here), ", ".join(path) or "1"
+        order = ", ".join(f"{c} NULLS FIRST" for c in here)
+        budget = f"JOIN g_{path[-1]} g ON " + " AND ".join(f"g.{c} IS NOT DISTINCT FROM k.{c}" for c in path) if path else "CROSS JOIN total"
+        parts.append(f"""k_{level} AS (SELECT {names}, sum(tokens) * {float(MAX_EPOCHS)}::DOUBLE AS room, any_value({weight(level)}) AS w FROM leaves GROUP BY {names}),
+b_{level} AS (SELECT k.*, budget FROM k_{level} k {budget}),
+l_{level} AS (SELECT *, greatest(budget - coalesce(sum(room) OVER (PARTITION BY {by} ORDER BY room / w, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+  / sum(w) OVER (PARTITION BY {by} ORDER BY room / w, {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM b_{level}),
+f_{level} AS (SELECT *, first_value(CASE WHEN room > w * lvl THEN lvl END IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY room / w, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first FROM l_{level}),
+g_{level} AS (SELECT {names}, CASE WHEN first IS NULL THEN room ELSE least(room, w * first) END AS budget FROM f_{level})""")
+        path = here
+    same = " AND ".join(f"d.{c} IS NOT DISTINCT FROM g.{c}" for c in LEVELS)
+    key = ", ".join(LEVELS)
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce('domain' || (nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '')::BIGINT % 4)::VARCHAR, 'other') AS domain,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT {key}, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY {key}),
+total AS (SELECT sum(tokens)::DOUBLE * {BUDGET_SHARE}::DOUBLE AS budget FROM leaves),
+{", ".join(parts)},
+t AS (SELECT g.*, tokens, CASE WHEN tokens > 0 THEN least({MAX_EPOCHS}, floor(budget / tokens)) ELSE 0 END::INT AS whole FROM g_{LEVELS[-1]} g JOIN leaves d ON {same}),
+u AS (SELECT d.*, g.budget, g.whole, g.budget - g.tokens * g.whole AS rest, md5(concat_ws('|', '{SEED}', g.whole::VARCHAR, d.doc_id::VARCHAR, d.n_tokens::VARCHAR)) AS u FROM d JOIN t g ON {same}),
+p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY {key} ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM u)
+SELECT doc_id, {key}, n_tokens::BIGINT AS n_tokens, CASE WHEN n_tokens > 0 THEN whole + (passed < rest AND whole < {MAX_EPOCHS})::INT ELSE 0 END::INT AS epochs,
+  round(budget)::BIGINT AS leaf_budget, round(greatest((SELECT budget FROM total) - (SELECT sum(budget) FROM g_{LEVELS[-1]}), 0))::BIGINT AS unspent FROM p
+"""
+
+
+SQL = _sql()

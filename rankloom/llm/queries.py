@@ -21,4 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op7_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substrings.SQL,
+    "op5_line_dedup": lines.SQL,
+    "op6_mixing": mixing.SQL,
+    "op7_chat_formatting": chat.SQL,
+    "op8_secret_scans": secrets.SQL,
+    "op10_sharding": sharding.SQL,
+}

@@ -112,3 +112,36 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ledger = BlobLedger(spark, f"{checkpoint_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
     return ledger.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+#: The patterns for DuckDB, whose (?i) would take letters beyond ASCII for A-Z.
+_SQL_PATTERNS = {
+    "assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    **{kind: pattern.pattern for kind, (pattern, _) in MORE.items()},
+}
+_SQL_LEAST = {"assign": "length(regexp_extract(m, '{p}', 2)) >= 12", "access": "length(m) >= 18", "hex": "length(m) >= 16"}
+
+
+def _sql() -> str:
+    """DuckDB: matches and what lies between them give the places."""
+    kinds = []
+    for rank, kind in enumerate(KINDS):
+        p = _SQL_PATTERNS[kind].replace("'", "''")
+        least = _SQL_LEAST.get(kind, "true").replace("{p}", p)
+        kinds.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, before + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, m, {least} AS ok
+  FROM (SELECT doc_id, m, i, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS before
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')[:-2]) AS part, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM t))""")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(kinds)}),
+g AS (SELECT doc_id, rank, s, kind || ':' || s::BIGINT || ':' || (s + length(m))::BIGINT AS span FROM f WHERE ok),
+o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM g GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN o USING (doc_id)
+"""
+
+
+SQL = _sql()

@@ -353,3 +353,32 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
+
+
+def _sql() -> str:
+    """DuckDB: window hashes by the same doubling, as digests of two neighbours' digests."""
+    hashes, have = ["h1 AS (SELECT doc_id, i, word, md5(word) AS h FROM p)"], 1
+    while have < WIDTH:
+        step = min(have, WIDTH - have)
+        hashes.append(f"h{have + step} AS (SELECT doc_id, i, word, md5(h || lead(h, {step}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{have})")
+        have += step
+    longest, width = [], WIDTH
+    for _ in range(12):
+        longest.append(f"SELECT doc_id, {width} AS longest FROM h{width} WHERE h IN (SELECT h FROM h{width} WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1)")
+        hashes.append(f"h{2 * width} AS (SELECT doc_id, i, md5(h || lead(h, {width}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{width})")
+        width *= 2
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+{", ".join(hashes[:-1])},
+again AS (SELECT h FROM h{WIDTH} WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT a.*, again.h IS NOT NULL AS hit FROM h{WIDTH} a LEFT JOIN again ON a.h = again.h),
+gone AS (SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM hit),
+kept AS (SELECT doc_id, (count(*) FILTER (gone))::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM gone GROUP BY doc_id),
+long AS (SELECT doc_id, max(longest)::BIGINT AS longest FROM ({" UNION ALL ".join(longest)}) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(longest, 0) AS longest
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN long USING (doc_id)
+"""
+
+
+SQL = _sql()
