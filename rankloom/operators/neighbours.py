@@ -109,5 +109,6 @@ class RP3Beta(SimilarityRecommender):
         super().__init__(n_neighbors=n_neighbors, alpha=alpha, beta=beta, normalize_similarity=normalize_similarity, units=units)
 
     def fit_matrix(self, r: DataFrame) -> None:
-        self.tables["walk"] = cut(walk_edges(r, self.alpha, self.beta, self.units))
+        # Read once here, so it stays a plan; a batch update keeps its rows.
+        self.tables["walk"] = walk_edges(r, self.alpha, self.beta, self.units)
         self.tables["s"] = cut(pruned_walk(self.tables["walk"], self.n_neighbors, self.normalize_similarity, self.units))
