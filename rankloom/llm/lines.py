@@ -91,7 +91,8 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mi
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(key).alias("k"), F.xxhash64(said).alias("h"), F.size(F.split(said, "\n", -1)).alias("n"))
     joined = rows.hint("merge").join(drops, (rows["k"] == drops["doc"]) & (rows["h"] == drops["th"]), "left")
     dropped = F.aggregate(F.coalesce("_drops", F.array().cast("array<struct<at:int,n:int>>")), F.lit(0), lambda s, d: s + d["n"])
-    return joined.select("row.*", F.col("n").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), keep_runs(F.col("n"), F.col("_drops")).alias("keep_runs"))
+    done = joined.select("row", F.col("n").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), keep_runs(F.col("n"), F.col("_drops")).alias("keep_runs"))
+    return done.select("row.*", "n_lines", "n_dropped", "keep_runs")
 
 
 def kept_text(text: Column, runs: Column) -> Column:

@@ -399,3 +399,23 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+#: DuckDB: probability Jaccard of all pairs that have most of their weight in common, by
+#: the pairs of weights that occur, then the closure of the links.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(greatest(len(ws) - {SHINGLE - 1}, 1)), lambda k: md5(array_to_string(ws[k + 1:k + {SHINGLE}], ' ')))) AS h FROM d WHERE len(ws) > 0),
+s AS (SELECT doc_id, h, count(*)::DOUBLE AS x FROM g GROUP BY ALL),
+n AS (SELECT doc_id, sum(x) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.x, b.x AS y, count(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+t AS (SELECT a, b, sum(m * x) AS sx, sum(m * y) AS sy, any_value(na.n) AS nx, any_value(nb.n) AS ny FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b GROUP BY a, b
+  HAVING least(sx / nx, sy / ny) >= {SIMILARITY} - 0.001),
+j AS (SELECT p.a, p.b, p.m / (sum(q.m * greatest(q.x / p.x, q.y / p.y)) + any_value((nx - sx) / p.x + (ny - sy) / p.y)) AS part
+  FROM t JOIN c p ON p.a = t.a AND p.b = t.b JOIN c q ON q.a = t.a AND q.b = t.b GROUP BY p.a, p.b, p.x, p.y, p.m),
+l AS (SELECT a, b FROM j GROUP BY a, b HAVING sum(part) >= {SIMILARITY}),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM r GROUP BY a)
+SELECT doc_id, class_id, class_size::BIGINT AS class_size, doc_id = class_id AS kept FROM k
+"""

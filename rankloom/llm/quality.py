@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import attach, cut, words_of
+from .common import attach, cut, digest, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -137,7 +137,7 @@ def choose_cutoffs(scored: DataFrame, labels: DataFrame, *, key: str, stratum: s
     Sums for each (stratum, half, quality, rule, bin) are all that leaves the tasks.
     """
     marked = labels.filter(F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("_good"))
-    known = cut(scored.join(marked, key).filter("_base_ok").select(F.col(stratum).alias("_stratum"), (F.xxhash64(F.lit("half"), key) % 2 == 0).alias("_pick"), (F.col("_good") == 1).alias("_good"), *[f"_s_{r}" for r in RULES]))
+    known = cut(scored.join(marked, key).filter("_base_ok").select(F.col(stratum).alias("_stratum"), (F.substring(digest(F.lit("half"), F.col(key)), 1, 1) < "8").alias("_pick"), (F.col("_good") == 1).alias("_good"), *[f"_s_{r}" for r in RULES]))
     strata = max(1, known.select("_stratum").distinct().count())
     above = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"_s_{r}").alias("score")) for r in RULES for c in GRID])
     tried = known.filter("_pick").select("_stratum", "_good", F.explode(above).alias("t")).filter("t.score > t.cutoff")
@@ -215,3 +215,49 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     rules = F.concat_ws(",", F.array_sort("failed_rules")).alias("failed_rules")
     return judge(docs, labels).select("doc_id", *_OUT[:6], rules, "kept")
+
+
+def _sql() -> str:
+    """DuckDB: the measures by lists and windows, the tests by sums of binomial terms."""
+    symbols = "|".join(f"[{c}]" for c in SYMBOLS)
+    hashes, have = ["h1 AS (SELECT doc_id, i, md5(word) AS h FROM p)"], 1
+    while have < WINDOW:
+        hashes.append(f"h{2 * have} AS (SELECT doc_id, i, md5(h || lead(h, {have}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{have})")
+        have *= 2
+    grid = ", ".join(f"{c}::DOUBLE" for c in GRID)
+    names = ", ".join(f"'{r}'" for r in RULES)
+    scores = ", ".join(f"s_{r}" for r in RULES)
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+{", ".join(hashes)},
+hit AS (SELECT doc_id, i, h IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h) > 1 AS hit FROM h{WINDOW}),
+cov AS (SELECT doc_id, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS cov FROM hit),
+rep AS (SELECT doc_id, count(*) FILTER (cov) AS n_repeat_words FROM cov GROUP BY doc_id),
+f AS (SELECT doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '{symbols.replace("'", "''")}', '', 'g')))::BIGINT AS n_symbols,
+  (len(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+  CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: strlen(x) > 25))::DOUBLE / len(ws) ELSE 0 END AS odd, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: strlen(x) = 1))::DOUBLE / len(ws) ELSE 0 END AS alone
+  FROM w LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, 10 * n_symbols::DOUBLE / word_chars) ELSE 0 END AS s_symbols, least(1.0::DOUBLE, n_dup_lines::DOUBLE / n_lines) AS s_dup_lines,
+  CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_repeat_words::DOUBLE / n_words) ELSE 0 END AS s_repeats, least(1.0::DOUBLE, 10 * odd) AS s_odd_words, alone AS s_alone FROM f),
+known AS (SELECT m.*, substr(md5('half|' || doc_id::VARCHAR), 1, 1) < '8' AS pick, good = 1 AS good FROM m JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT greatest(count(*), 1) AS n FROM (SELECT DISTINCT lang FROM known)),
+long AS (SELECT doc_id, lang, pick, good, unnest([{names}]) AS rule, unnest([{scores}]) AS score FROM known),
+tried AS (SELECT lang, rule, cutoff, sum(CASE WHEN good THEN -10 ELSE 1 END) AS gain FROM long CROSS JOIN (SELECT unnest([{grid}]) AS cutoff) WHERE pick AND score > cutoff GROUP BY ALL HAVING gain > 0),
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) = 1),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, rule) AS turn FROM best),
+first AS (SELECT l.lang, l.doc_id, min(c.turn) FILTER (l.score > c.cutoff) AS turn FROM long l JOIN chosen c ON c.lang IS NOT DISTINCT FROM l.lang AND c.rule = l.rule WHERE NOT pick AND good GROUP BY ALL),
+counts AS (SELECT c.lang, c.rule, c.cutoff, c.turn, count(f.doc_id) AS n, count(*) FILTER (f.turn <= c.turn) AS k FROM chosen c LEFT JOIN first f ON f.lang IS NOT DISTINCT FROM c.lang GROUP BY ALL),
+tested AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::DOUBLE) + (n - i) * ln(1 - {ALPHA}::DOUBLE)))) END AS pv FROM counts),
+certified AS (SELECT lang, rule, cutoff FROM (SELECT *, max(pv) OVER (PARTITION BY lang ORDER BY turn) AS worst FROM tested) WHERE worst <= {DELTA}::DOUBLE / (SELECT n FROM strata)),
+every AS (SELECT doc_id, lang, unnest([{names}]) AS rule, unnest([{scores}]) AS score FROM m),
+failed AS (SELECT doc_id, string_agg(e.rule, ',' ORDER BY e.rule) AS failed_rules FROM every e JOIN certified c ON c.lang IS NOT DISTINCT FROM e.lang AND c.rule = e.rule AND e.score > c.cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed_rules, '') AS failed_rules, NOT base_failed AND failed_rules IS NULL AS kept FROM m LEFT JOIN failed USING (doc_id)
+"""
+
+
+SQL = _sql()

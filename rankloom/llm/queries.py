@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": neardup.SQL,
+    "op2_quality_rules": quality.SQL,
     "op3_substring_dedup": substrings.SQL,
     "op5_line_dedup": lines.SQL,
     "op6_mixing": mixing.SQL,

@@ -76,6 +76,12 @@ def test_fill_equals_repeated_shares(spark, seed):
     assert [got[k[1]] for k in kids] == pytest.approx(want)
 
 
+def test_mixing_tells_what_it_cannot_spend(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "en", "src1", 7) for i in range(10)], SCHEMA)
+    rows = mixing.mix(docs, budget=200.0, max_epochs=3).collect()
+    assert {(r["epochs"], r["unspent"], r["leaf_budget"]) for r in rows} == {(3, 80.0, 120.0)}
+
+
 def test_mixing_takes_each_leafs_shortest_prefix(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(0, 30)) if i % 11 else None, rng.choice(["en", "de", None]), rng.choice(["src1", "src2", "other", None]), 0) for i in range(600)]
@@ -224,7 +230,7 @@ def test_chat_round_trip_and_expansion(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, sf_dir).toPandas()

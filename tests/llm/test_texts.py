@@ -319,6 +319,25 @@ def test_binomial_p_value_is_exact(k, n, alpha):
     assert quality.binomial_p_value(k, n, alpha) == pytest.approx(float(exact), rel=1e-9)
 
 
+CLASHES = ["_text", "_odd", "_f", "_stratum", "_n_lines", "_drops", "_places", "row", "k", "h", "n", "doc", "th", "block", "at", "_row", "_key", "_by", "_said", "cid", "sig", "bands", "_k", "_n"]
+
+
+def test_columns_of_clashing_names_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.llm import pieces, sharding
+
+    rows = spark.createDataFrame(corpus()[:12] + [(2**53 + 1, "odd one", None, None, None), (None, "odd", "en", "x", None)], SCHEMA)
+    clashing = rows.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for done in (quality.judge(clashing, labels), lines.keep_bitmaps(clashing), pieces.encode(clashing), neardup.keep_first(clashing)):
+        got = done.collect()
+        assert len(got) >= 10 and all(r[c] == i for r in got for i, c in enumerate(CLASHES))
+        assert 2**53 + 1 in {r["doc_id"] for r in got} and None in {r["doc_id"] for r in got}
+    assert sharding.shard(clashing.withColumn("size", F.lit(1)), 4).count() == 14
+    assert substrings.dedup(clashing).count() == 14
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -327,3 +346,5 @@ def test_empty_tables(spark):
     assert lines.keep_bitmaps(none).count() == 0
     assert neardup.near_duplicates(none).count() == 0
     assert neardup.keep_first(none).count() == 0
+    ledger = secrets.BlobLedger(spark, f"{spark.sparkContext.getCheckpointDir()}/empty-ledger")
+    assert ledger.scan(none).count() == 0
