@@ -25,8 +25,8 @@ UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: What an unknown character costs below the least score.
 _PENALTY = 10.0
-#: Words whose encodings a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+#: Words whose encodings a worker keeps, half of them new or used since the last turn.
+CACHE_WORDS = 240_000
 #: Cells (words x characters) of a lattice worked on at once.
 CELLS = 150_000
 #: Longer words are merged with a heap, one by one.
@@ -364,15 +364,22 @@ class Encoder:
     def __init__(self, table: PieceTable):
         self.table, self.lattice = table, Lattice(table)
         self.split = re.compile(table.word_pattern()).findall
-        #: By word: minus the pieces on its Viterbi path, then its ids.
+        #: By word: minus the pieces on its Viterbi path, then its ids. Words that were not
+        #: used while ``known`` filled up are forgotten at its next turn.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """(ids, pieces on the Viterbi paths) of each text."""
         words = [self.split(self.table.normalized(t)) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
+        if len(self.known) > CACHE_WORDS // 2:
+            self.before, self.known = self.known, {}
+        new = []
+        for w in set().union(*words).difference(self.known):
+            if (found := self.before.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = found
         if new:
             ids, counts = self.lattice.encode(new)
             heads = np.negative(np.array(counts, np.int32)).tobytes()
@@ -419,19 +426,30 @@ def encode(docs: DataFrame, *, text: str = "text", table: PieceTable | None = No
     # The other columns stay in Spark: in pandas a null would turn whole numbers into doubles.
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("row"), text_or_empty(docs, text).alias("text"))
 
-    @F.pandas_udf(_OUT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, table)
         decoder = table.decoder()
         for batch in batches:
-            done = []
-            for a in range(0, len(batch), texts_at_once):
-                texts = batch.iloc[a : a + texts_at_once].tolist()
+            for a in range(0, batch.num_rows, texts_at_once):
+                part = batch.slice(a, texts_at_once)
+                texts = part.column("text").to_pylist()
                 out = encoder.encode(texts)
-                done += [(len(ids), n, ids, table.decode(ids.tolist(), decoder) == t) for (ids, n), t in zip(out, texts, strict=True)]
-            yield pd.DataFrame(done, columns=names)
+                trips = [table.decode(ids.tolist(), decoder) == t for (ids, _), t in zip(out, texts, strict=True)]
+                kept = [part.column("row").field(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *_columns([ids for ids, _ in out], [n for _, n in out], trips)], names=[*keep, *names])
+
+    shape = docs.select(*keep).schema
+    for field in docs.sparkSession.createDataFrame([], _OUT).schema:
+        shape = shape.add(field)
+    return rows.mapInArrow(run, shape)
+
 
-    return rows.select("row", run("text").alias("out")).select(*[F.col("row")[c].alias(c) for c in keep], "out.*")
+def _columns(ids: list[np.ndarray], counts: list[int], trips: list[bool]) -> list[pa.Array]:
+    """The result's columns in Arrow."""
+    sizes = [len(x) for x in ids]
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat))
+    return [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), lists, pa.array(trips, pa.bool_())]
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", out: str = "text", table: PieceTable | None = None) -> DataFrame:
@@ -525,6 +543,8 @@ def merged(lattice: DataFrame) -> DataFrame:
 
 #: Words, with repeats in other blocks, whose lattices are made in one task, about.
 WORDS_A_TASK = 50_000
+#: Words of blocks that a task holds back to tell repeats.
+HELD_WORDS = 600_000
 #: Longer words are not folded, which takes time by their square, but encoded with a heap.
 FOLD = 32
 #: Code points of the texts that share a dictionary, at most, but for one longer text; texts
@@ -619,7 +639,7 @@ def encode_relational(docs: DataFrame, *, text: str = "text", table: PieceTable
         heads = np.negative(right.column("n_viterbi").to_numpy().astype(np.int32))
         known = {w: heads[i : i + 1].tobytes() + flat[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(right.column("word").to_pylist())}
         decoder = table.decoder()
-        counts, vit, flats, trips = [], [], [], []
+        vit, flats, trips = [], [], []
         for t in left.column("text").to_pylist():
             parts = cutter(t)
             new = sorted({w for w in parts if w not in known})
@@ -629,14 +649,11 @@ def encode_relational(docs: DataFrame, *, text: str = "text", table: PieceTable
             found = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
             head = found < 0
             own = found[~head]
-            counts.append(len(own))
             vit.append(-int(found[head].sum()))
             flats.append(own)
             trips.append(table.decode(own.tolist(), decoder) == t)
         row = left.column("row").combine_chunks()
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        columns = [row.field(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(vit, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats) if flats else np.empty(0, np.int32))), pa.array(trips, pa.bool_())]
-        return pa.Table.from_arrays(columns, names=out_names)
+        return pa.Table.from_arrays([*[row.field(c) for c in keep], *_columns(flats, vit, trips)], names=out_names)
 
     shape = docs.select(*keep).schema
     for field in docs.sparkSession.createDataFrame([], _OUT).schema:

@@ -148,6 +148,19 @@ def test_a_long_word_leaves_the_others_of_its_batch_alone(table):
     assert encoder.encode([common])[0][0].tolist() == library.encode(common)
 
 
+def test_words_are_forgotten_and_encoded_again(table, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 40)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(9)
+    encoder = pieces.Encoder(table)
+    for _ in range(30):
+        texts = [prose(rng, 12, 60) for _ in range(3)]
+        assert [ids.tolist() for ids, _ in encoder.encode(texts)] == [library.encode(t) for t in texts]
+    assert len(encoder.known) + len(encoder.before) < 140
+
+
 def best_path(word, scores, unknown, longest):
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
