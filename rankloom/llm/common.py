@@ -17,6 +17,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A table of at most this many rows may be broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
 
+#: Texts that go to Python at once.
+BATCH_ROWS = 1000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is set (tests), a temporary one."""
@@ -33,6 +36,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of BATCH_ROWS at most, from now on in this session:
+    a batch is held several times over, in the JVM and in the worker, and texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder.
 

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, words_of
+from .common import BROADCAST_ROWS, cut, small_batches, words_of
 from .components import components
 from .hashing import mix, tidy, window_hashes, word_hashes
 
@@ -105,27 +106,28 @@ def class_id(said: bytes) -> int:
     return int.from_bytes(said[:8], "little", signed=True)
 
 
-_SKETCH = "cid long, n_words int, sig binary, bands array<long>"
+_SKETCH = "key long, h long, cid long, n_words int, sig binary, bands array<long>"
 
 
-def sketched_text(texts: pd.Series) -> pd.DataFrame:
-    """A text's class, words, signature and bands. Keys stay out of Python, where a null
-    beside them would turn them into doubles."""
-    out = []
-    for a in range(0, len(texts), 512):
-        words = [words_of(t) for t in texts.iloc[a : a + 512]]
-        cids = [class_id(hashlib.sha256(b" ".join(w)).digest()) for w in words]
-        full = [i for i, w in enumerate(words) if w]
-        sig: list[bytes | None] = [None] * len(words)
-        bands: list[np.ndarray | None] = [None] * len(words)
-        if full:
-            found = [shingles_of(words[i]) for i in full]
-            made = sketches([v for v, _ in found], [c for _, c in found])
-            low = (made & _U(0xFFFF)).astype(np.uint16)
-            for i, s, b in zip(full, low, band_keys(made).astype(np.int64), strict=True):
-                sig[i], bands[i] = s.tobytes(), b
-        out += zip(cids, map(len, words), sig, bands, strict=True)
-    return pd.DataFrame(out, columns=["cid", "n_words", "sig", "bands"])
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's class, words, signature and bands. Keys pass in Arrow: pandas would turn them
+    into doubles beside a null."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            words = [words_of(t) for t in part.column("text").to_pylist()]
+            cids = [class_id(hashlib.sha256(b" ".join(w)).digest()) for w in words]
+            full = [i for i, w in enumerate(words) if w]
+            sig: list[bytes | None] = [None] * len(words)
+            bands: list[np.ndarray | None] = [None] * len(words)
+            if full:
+                found = [shingles_of(words[i]) for i in full]
+                made = sketches([v for v, _ in found], [c for _, c in found])
+                low = (made & _U(0xFFFF)).astype(np.uint16)
+                for i, s, b in zip(full, low, band_keys(made).astype(np.int64), strict=True):
+                    sig[i], bands[i] = s.tobytes(), b
+            columns = [part.column("key"), part.column("h"), pa.array(cids, pa.int64()), pa.array(list(map(len, words)), pa.int32()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "cid", "n_words", "sig", "bands"])
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -349,8 +351,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sketched = cut(rows.select("key", F.xxhash64("text").alias("h"), F.pandas_udf(sketched_text, _SKETCH)("text").alias("s")).select("key", "h", "s.*"))
+    sketched = cut(rows.select("key", F.xxhash64("text").alias("h"), "text").mapInArrow(_sketch, _SKETCH))
     spoken = sketched.filter("n_words > 0")
     classes = cut(spoken.groupBy("cid").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")))
     firsts = classes.select(F.col("cid").alias("_cid"), "first")

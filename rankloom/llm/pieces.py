@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, small_batches, text_or_empty
 
 #: The model file, unless a path is given.
 MODEL = os.environ.get("RANKLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -420,6 +420,7 @@ def encode(docs: DataFrame, *, text: str = "text", table: PieceTable | None = No
     named like the results give way. No rows: no rows. Nothing is shuffled.
     """
     table = table or PieceTable.load()
+    small_batches(docs.sparkSession)
     name = f"{len(table.pieces)}-{hash((tuple(table.pieces), table.algorithm))}"
     names = [x.split()[0] for x in _OUT.split(", ")]
     keep = [c for c in docs.columns if c not in (*names, text)]

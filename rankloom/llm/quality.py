@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import attach, cut, digest, words_of
+from .common import attach, cut, digest, small_batches, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -93,7 +93,8 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [(*features(t), 1 + (t or "").count("\n")) for t in batch]
             yield pd.DataFrame(rows, columns=_FEATURES.names)
 
-    return docs.withColumn("_f", count(F.col(text))).select(*docs.columns, "_f.*")
+    # Told to be nondeterministic, or a filter on the result would have Spark count twice.
+    return docs.withColumn("_f", count.asNondeterministic()(F.col(text))).select(*docs.columns, "_f.*")
 
 
 def with_scores(df: DataFrame) -> DataFrame:
@@ -198,6 +199,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     checkpointed without the texts to choose the cutoffs; where ``docs`` has other
     columns, a second pass carries them, as a join would have to shuffle the texts.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in _OUT]
     # The columns travel as one struct, so that their names meet no name used here.
     docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(key).alias("_key"), F.col(stratum).alias("_by"), F.col(text).alias("_said"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, text_or_empty
+from .common import checkpoint_dir, cut, small_batches, text_or_empty
 
 #: Rules of the base, in order; matches under the least length are dropped.
 BASE = ["assign", "access", "hex"]
@@ -94,6 +94,7 @@ class BlobLedger:
         row for each unseen blob, by key and blob, so a text that a third of all rows hold
         is scanned once and not gathered. Other columns are ignored.
         """
+        small_batches(self.spark)
         rows = docs.select(F.col(key).alias("_key"), text_or_empty(docs, text).alias("text")).withColumn("blob", F.sha2("text", 256))
         paths = cut(rows.select("_key", "blob"))
         seen = self.rows().filter(F.col("rule_version") == version).select("blob")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, small_batches, words_of
 from .hashing import members, mix, repeated_of, source_id, tidy, window_hashes, word_hashes
 
 WIDTH = 35
@@ -298,6 +298,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: in
     ignored. No rows: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if width < 2:
         raise ValueError("windows of two words at least")
     lengths = levels(width, min(anchor, (width + 1) // 2))
