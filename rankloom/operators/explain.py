@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine
-from . import ranking
+from . import blocks, ranking
 from .base import Recommender, SimilarityRecommender
 
 
@@ -24,6 +24,9 @@ def history_attribution(model: SimilarityRecommender, pairs: DataFrame, n: int =
     """(user_id, item_id, place, reason, term, rest): the history items whose r * w make up
     most of a pair's score."""
     keys = pairs.select("user_id", "item_id").distinct()
+    if blocks.whole_ids(model.r, "user_id", "item_id") and blocks.whole_ids(pairs, "user_id", "item_id"):
+        mine = model.r.join(keys.select("user_id").distinct(), "user_id", "left_semi")
+        return _shown(blocks.meetings(mine, model.tables["s"].select("i", "j", "w"), "terms", pairs=keys), n)
     history = keys.join(model.r.select("user_id", F.col("item_id").alias("reason"), "r"), "user_id")
     edges = model.tables["s"].select(F.col("i").alias("reason"), F.col("j").alias("item_id"), "w")
     terms = history.join(edges, ["reason", "item_id"]).select("user_id", "item_id", "reason", (F.col("r") * F.col("w")).alias("term"))

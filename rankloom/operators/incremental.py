@@ -10,7 +10,7 @@ from ..schema import matrix
 from ..session import cut
 from .base import Recommender
 from .linear import EASE
-from .neighbours import BM25, ItemKNN, RP3Beta, pruned_walk, strongest
+from .neighbours import BM25, ItemKNN, RP3Beta, cosine_edges, pruned_walk
 from .popular import MostPopular
 
 
@@ -26,17 +26,6 @@ def affected_items(r: DataFrame, touched: DataFrame) -> DataFrame:
     return near.unionByName(touched.select("item_id")).distinct()
 
 
-def _knn_of(r: DataFrame, targets: DataFrame, shrink: float, n: int | None) -> DataFrame:
-    """The cosine edges of ``targets`` alone: their columns meet all others."""
-    norms = r.groupBy("item_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("_norm"))
-    a = r.select("user_id", F.col("item_id").alias("i"), F.col("r").alias("_x"))
-    b = r.join(targets, "item_id", "left_semi").select("user_id", F.col("item_id").alias("j"), F.col("r").alias("_y"))
-    dots = a.join(b, "user_id").filter("i <> j").groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot")).filter("dot <> 0")
-    dots = dots.join(norms.select(F.col("item_id").alias("i"), F.col("_norm").alias("_ni")), "i").join(norms.select(F.col("item_id").alias("j"), F.col("_norm").alias("_nj")), "j")
-    edges = dots.select("i", "j", (F.col("dot") / (F.col("_ni") * F.col("_nj") + F.lit(float(shrink)))).alias("w"))
-    return strongest(edges, "j", "i", n)
-
-
 def partial_fit(model: Recommender, log: DataFrame) -> Recommender:
     """Adds a batch to a fitted model; the first batch fits it.
 
@@ -57,7 +46,7 @@ def partial_fit(model: Recommender, log: DataFrame) -> Recommender:
         model.tables["pop"] = cut(model.tables["pop"].join(touched, "item_id", "left_anti").unionByName(anew))
     elif isinstance(model, ItemKNN):
         targets = cut(affected_items(r, delta.select("item_id").distinct()))
-        anew = _knn_of(r, targets, model.shrink, model.n_neighbors)
+        anew = cosine_edges(r, model.shrink, model.n_neighbors, targets)
         kept = model.tables["s"].join(targets.withColumnRenamed("item_id", "j"), "j", "left_anti")
         model.tables["s"] = cut(kept.select("i", "j", "w").unionByName(anew.select("i", "j", "w")))
     elif isinstance(model, EASE) and hasattr(model, "ids"):
