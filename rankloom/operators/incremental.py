@@ -65,15 +65,13 @@ def partial_fit(model: Recommender, log: DataFrame) -> Recommender:
 
 def _update_ease(model: EASE, old: DataFrame, r: DataFrame, delta: DataFrame) -> None:
     """Rank-2u update of the inverse for the u users that changed; a refit where that is
-    no smaller than the matrix, or where items are new and old users come with them."""
+    no smaller than the matrix, or where the matrix outgrows the driver."""
     users = delta.select("user_id").distinct()
     fresh = [row[0] for row in delta.select("item_id").distinct().orderBy("item_id").toLocalIterator()]
     known = set(model.ids)
     ids = sorted(known | set(fresh))
     n = len(ids)
-    if n > model.max_items:
-        raise ValueError(f"{n} items pass max_items={model.max_items}")
-    if 2 * users.count() >= n:
+    if n > model.most() or 2 * users.count() >= n:
         model.fit_matrix(r)
         return
     place = {x: i for i, x in enumerate(ids)}
