@@ -115,11 +115,28 @@ class PieceTable:
         return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
 
     def word_pattern(self) -> str:
-        """Words that no piece reaches over: a run of marks with what follows; line feeds
-        stand alone if no piece holds one beside other characters."""
-        if any("\n" in p and len(p) > 1 for _, p, _ in self.normal()):
-            return f"{MARK}*[^{MARK}]+|{MARK}+"
-        return f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
+        """Words that no piece reaches over: a run of marks and signs with what follows; line
+        feeds stand alone if no piece holds one beside other characters. So a word is the
+        same whatever signs come after it."""
+        apart = "" if any("\n" in p and len(p) > 1 for _, p, _ in self.normal()) else "\n"
+        signs = "".join(map(re.escape, sorted(self.signs() - {apart})))
+        first = f"{MARK}*+[{signs}]*+" if signs else f"{MARK}*+"
+        words = [f"{first}[^{MARK}{apart}{signs}]++", *([f"{MARK}*+[{signs}]++"] if signs else []), f"{MARK}++"]
+        return "|".join([*([apart] if apart else []), *words])
+
+    def signs(self) -> set[str]:
+        """Characters, neither letters nor decimal digits, that stand in pieces only at their
+        start or after marks and others of this set: before a run of them a text can be cut.
+        Those beyond U+FFFF are left out, as they make a pattern's sets slow."""
+        before: dict[str, set[str]] = {}
+        for _, p, _ in self.normal():
+            for i, c in enumerate(p):
+                if not c.isalpha() and not c.isdecimal() and c != MARK and c <= "\uffff":
+                    before.setdefault(c, set()).update(p[i - 1 : i] if i else "")
+        out = set(before)
+        while wrong := {c for c in out if not before[c] <= out | {MARK}}:
+            out -= wrong
+        return out
 
     def fallback(self, char: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -137,7 +154,11 @@ class PieceTable:
         return out
 
     def decode(self, ids: list[int], table: list[bytes] | None = None) -> str:
-        text = b"".join(map((table or self.decoder()).__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return self.spaced(b"".join(map((table or self.decoder()).__getitem__, ids)).decode("utf-8", "replace"))
+
+    def spaced(self, text: str) -> str:
+        """``text`` with spaces for marks, less the prefix."""
+        text = text.replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -152,17 +173,20 @@ class Lattice:
 
     def __init__(self, table: PieceTable):
         self.table = table
-        normal = table.normal()
-        known: dict[int, tuple[int, int]] = {}
-        for i, piece, _ in normal:
-            h = _SEED
-            codes = np.array([ord(c) for c in piece], np.uint64)
-            for n, c in enumerate(codes, 1):
-                h = self._step(np.array([h], np.uint64), np.array([c], np.uint64))[0]
-                if n == len(codes):
-                    known[int(h)] = i
-                else:
-                    known.setdefault(int(h), -1)
+        normal = [(i, p) for i, p, _ in table.normal() if p]
+        lengths = np.array([len(p) for _, p in normal], np.int64)
+        codes = np.frombuffer("".join(p for _, p in normal).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        live, at, h = np.array([i for i, _ in normal], np.int64), np.cumsum(lengths) - lengths, np.full(len(normal), _SEED)
+        known: dict[int, int] = {}
+        n = 0
+        while len(live):
+            h = self._step(h, codes[at + n])
+            n += 1
+            ends = lengths == n
+            known.update(zip(h[ends].tolist(), live[ends].tolist(), strict=True))
+            for x in h[~ends].tolist():
+                known.setdefault(x, -1)
+            live, at, h, lengths = live[~ends], at[~ends], h[~ends], lengths[~ends]
         self.bits = max(10, int(np.ceil(np.log2(len(known) * 8))))
         size = 1 << self.bits
         self.keys, self.ids = np.zeros(size + 64, np.uint64), np.full(size + 64, -2, np.int32)
@@ -176,6 +200,8 @@ class Lattice:
             self.reach = max(self.reach, n + 1)
         self.scores = np.array([*table.scores, table.unknown_score()], np.float64)
         self.unknown = len(table.scores)
+        #: By piece, its score's place among all, from 1; 0 for the unknown one and for none (-1).
+        self.ranks = np.append(np.unique(self.scores[:-1], return_inverse=True)[1] + 1, [0, 0]).astype(np.int32)
 
     @staticmethod
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -243,32 +269,38 @@ class Lattice:
         """ends[w, p]: whether a piece of word w ends at p, by repeated merging of the
         adjacent pair whose union scores best, the first of equals."""
         spans, width, words = edges.shape
-        cut = np.full((words, width + 2), -1, np.int64)
-        cut[:, : width + 1] = np.where(np.arange(width + 1) <= lengths[:, None], np.arange(width + 1), -1)
-        ends = np.zeros((words, width + 1), np.bool_)
-        rows = np.arange(words)
-        live = np.flatnonzero(lengths > 1)
-        scores = np.where(np.arange(len(self.scores)) == self.unknown, -np.inf, self.scores)
-        state = cut[live]
-        ends[rows[lengths == 1], 1] = True
+        size = width + 2
+        ends = (np.arange(width + 1) > 0) & (np.arange(width + 1) <= lengths[:, None])
+        # By word and place: the end of the part that starts there, the start of the one that
+        # ends there. Before a word stands -1, which is its last place, where no pair starts.
+        after = np.tile(np.arange(1, size + 1), words)
+        before = np.tile(np.arange(-1, size - 1), words)
+        flat = edges.reshape(-1)
+
+        def union(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            n = end - start
+            fits = (n <= spans) & (start >= 0)
+            return np.where(fits, self.ranks[flat[np.where(fits, ((n - 1) * width + start) * words + row, 0)]], 0)
+
+        # By live word and place: the rank of the union of the part there with the next one.
+        rank = np.zeros((words, size), np.int32)
+        if spans > 1:
+            rank[:, :width] = self.ranks[edges[1]].T
+        live = np.arange(words)
         while len(live):
-            a, c = state[:, :-2], state[:, 2:]
-            n = c - a
-            ok = (c > 0) & (n <= spans)
-            piece = edges[np.where(ok, n - 1, 0), np.where(ok, a, 0), live[:, None]]
-            score = np.where(ok & (piece >= 0), scores[piece], -np.inf)
-            pick = score.argmax(axis=1)
-            go = score[np.arange(len(live)), pick] > -np.inf
-            done = np.flatnonzero(~go)
-            if len(done):
-                r, k = np.nonzero(state[done] > 0)
-                ends[live[done[r]], state[done[r], k]] = True
-            live, state, pick = live[go], state[go], pick[go]
-            if len(live):
-                keep = np.ones(state.shape, np.bool_)
-                keep[np.arange(len(live)), pick + 1] = False
-                state = state[keep].reshape(len(live), -1)
-                state = np.hstack([state, np.full((len(live), max(0, 3 - state.shape[1])), -1)])
+            a = rank.argmax(axis=1)
+            go = rank[np.arange(len(live)), a] > 0
+            if not go.all():
+                live, rank, a = live[go], rank[go], a[go]
+            own, at = np.arange(len(live)), live * size
+            b = after[at + a]
+            c = after[at + b]
+            ends[live, b] = False
+            after[at + a], before[at + c] = c, a
+            rank[own, b] = 0
+            rank[own, a] = union(live, a, after[at + c])
+            z = before[at + a]
+            rank[own, z] = union(live, z, c)
         return ends
 
     def merge_long(self, word: str) -> list[int]:
@@ -310,15 +342,15 @@ class Lattice:
         pieces on the Viterbi path."""
         ids: list[bytes] = [b""] * len(words)
         counts = [0] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
         a = 0
         while a < len(order):
-            b = a + 1
             # Longer words than LONG have chunks of their own: they are merged otherwise.
-            long = len(words[order[a]]) > LONG
-            while b < len(order) and (len(words[order[b]]) > LONG) == long and (b - a + 1) * len(words[order[b]]) <= CELLS:
-                b += 1
-            self._chunk(order[a:b], words, ids, counts)
+            fits = (np.arange(1, len(order) - a + 1) * lengths[a:] <= CELLS) & ((lengths[a:] > LONG) == (lengths[a] > LONG))
+            b = a + max(1, len(fits) if fits.all() else int(fits.argmin()))
+            self._chunk(order[a:b].tolist(), words, ids, counts)
             a = b
         return ids, counts
 
@@ -342,20 +374,18 @@ class Lattice:
         start = np.where(first, 0, np.concatenate([[0], end[:-1]]))
         piece = edges[end - start - 1, start, row]
         bounds = np.searchsorted(row, np.arange(len(some) + 1))
-        odd = np.zeros(len(some), np.bool_)
-        odd[row[piece == self.unknown]] = True
         blob = piece.astype(np.int32).tobytes()
-        for k, i in enumerate(which):
-            counts[i] = int(number[k])
-            if long:
-                ids[i] = np.array(self.merge_long(some[k]), np.int32).tobytes()
-            elif odd[k]:
-                out: list[int] = []
-                for j in range(bounds[k], bounds[k + 1]):
-                    out += self.table.fallback(some[k][start[j]]) if piece[j] == self.unknown else [int(piece[j])]
-                ids[i] = np.array(out, np.int32).tobytes()
-            else:
-                ids[i] = blob[4 * bounds[k] : 4 * bounds[k + 1]]
+        places = (4 * bounds).tolist()
+        for k, (i, n, p, q) in enumerate(zip(which, number.tolist(), places, places[1:], strict=False)):
+            counts[i] = n
+            ids[i] = np.array(self.merge_long(some[k]), np.int32).tobytes() if long else blob[p:q]
+        if long:
+            return
+        for k in np.unique(row[piece == self.unknown]).tolist():
+            out: list[int] = []
+            for j in range(bounds[k], bounds[k + 1]):
+                out += self.table.fallback(some[k][start[j]]) if piece[j] == self.unknown else [int(piece[j])]
+            ids[which[k]] = np.array(out, np.int32).tobytes()
 
 
 class Encoder:
@@ -364,13 +394,24 @@ class Encoder:
     def __init__(self, table: PieceTable):
         self.table, self.lattice = table, Lattice(table)
         self.split = re.compile(table.word_pattern()).findall
-        #: By word: minus the pieces on its Viterbi path, then its ids. Words that were not
-        #: used while ``known`` filled up are forgotten at its next turn.
+        self.decoder = table.decoder()
+        self.sizes = np.array([len(x) for x in self.decoder], np.int64)
+        #: By word: its head, which is minus twice the pieces on its Viterbi path, less one if
+        #: its ids do not decode to it, then its ids. Words that were not used while ``known``
+        #: filled up are forgotten at its next turn.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """(ids, pieces on the Viterbi paths) of each text."""
+        return [(ids, n) for ids, n, _ in self.round_trips(texts)]
+
+    def round_trips(self, texts: list[str]) -> list[tuple[np.ndarray, int, bool]]:
+        """(ids, pieces on the Viterbi paths, whether decoding the ids gives it back) of each text.
+
+        A text's ids decode to what its words' ids decode to, one after another, so each new
+        word is decoded once; a text with a word that does not come back is decoded itself.
+        """
         words = [self.split(self.table.normalized(t)) for t in texts]
         if len(self.known) > CACHE_WORDS // 2:
             self.before, self.known = self.known, {}
@@ -382,15 +423,29 @@ class Encoder:
                 self.known[w] = found
         if new:
             ids, counts = self.lattice.encode(new)
-            heads = np.negative(np.array(counts, np.int32)).tobytes()
+            heads = (-2 * np.array(counts, np.int32) - self._lost(new, ids)).astype(np.int32).tobytes()
             self.known.update((w, heads[4 * i : 4 * i + 4] + x) for i, (w, x) in enumerate(zip(new, ids, strict=True)))
         out = []
-        for ws in words:
+        for t, ws in zip(texts, words, strict=True):
             found = np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.int32)
-            heads = found < 0
-            out.append((found[~heads], -int(found[heads].sum())))
+            is_head = found < 0
+            own, heads = found[~is_head], -found[is_head]
+            back = self.table.decode(own.tolist(), self.decoder) if (heads & 1).any() else self.table.spaced("".join(ws))
+            out.append((own, int((heads >> 1).sum()), back == t))
         return out
 
+    def _lost(self, words: list[str], ids: list[bytes]) -> np.ndarray:
+        """Whether each word's ids decode to something else than the word."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        places = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.concatenate([[0], ends])]
+        decoded = b"".join(map(self.decoder.__getitem__, flat.tolist()))
+        if np.array_equal(places[1:], np.cumsum([len(x) for x in raw])) and decoded == b"".join(raw):
+            return np.zeros(len(words), np.bool_)
+        places = places.tolist()
+        return np.array([decoded[a:b] != x for a, b, x in zip(places, places[1:], raw, strict=False)], np.bool_)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -429,15 +484,12 @@ def encode(docs: DataFrame, *, text: str = "text", table: PieceTable | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, table)
-        decoder = table.decoder()
         for batch in batches:
             for a in range(0, batch.num_rows, texts_at_once):
                 part = batch.slice(a, texts_at_once)
-                texts = part.column("text").to_pylist()
-                out = encoder.encode(texts)
-                trips = [table.decode(ids.tolist(), decoder) == t for (ids, _), t in zip(out, texts, strict=True)]
+                ids, counts, trips = zip(*encoder.round_trips(part.column("text").to_pylist()), strict=True)
                 kept = [part.column("row").field(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, *_columns([ids for ids, _ in out], [n for _, n in out], trips)], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*kept, *_columns(ids, counts, trips)], names=[*keep, *names])
 
     shape = docs.select(*keep).schema
     for field in docs.sparkSession.createDataFrame([], _OUT).schema:

@@ -161,6 +161,61 @@ def test_words_are_forgotten_and_encoded_again(table, monkeypatch):
     assert len(encoder.known) + len(encoder.before) < 140
 
 
+def test_words_are_the_same_whatever_signs_follow(table):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    encoder = pieces.Encoder(table)
+    encoder.encode(["hendingat hendingat. hendingat, hendingat,*** (hendingat)", "hendingat!\n"])
+    assert sorted(w for w in encoder.known if "hendingat" in w) == ["▁(hendingat", "▁hendingat"]
+    rng = random.Random(4)
+    signs = "".join(sorted(table.signs()))
+    letters = "".join(rng.choice("".join(p for _, p, _ in table.normal())) for _ in range(400))
+    texts = ["".join(rng.choice((signs, letters, "etaonrishdl .,;*-_'\"()", " \n\t²½a1🎉👍▁")[rng.choice((0, 1, 2, 2, 3))]) for _ in range(rng.randrange(300))) for _ in range(400)]
+    # The lattice over whole texts, not cut at all.
+    whole = [table.normalized(t) for t in texts]
+    _, counts = pieces.Lattice(table).encode([w or "a" for w in whole])
+    for t, w, n, (ids, got, back) in zip(texts, whole, counts, encoder.round_trips(texts), strict=True):
+        assert "".join(encoder.split(w)) == w
+        assert ids.tolist() == library.encode(t), t
+        assert got == (n if w else 0) and back == (table.decode(ids.tolist()) == t) == ("▁" not in t)
+
+
+def test_signs_that_a_piece_holds_after_letters_stay_with_them(table):
+    more = pieces.PieceTable([*table.pieces, "e.", "s²"], [*table.scores, 1.0, 2.0], [*table.types, 1, 1], pieces.BPE)
+    assert "." in table.signs() and "." not in more.signs() and "²" not in more.signs()
+    encoder = pieces.Encoder(more)
+    texts = ["the. houses², e.e.e. s²²", "a.,b e", "...e...", ""]
+    for t, (ids, n, back) in zip(texts, encoder.round_trips(texts), strict=True):
+        assert ids.tolist() == (encoder.lattice.merge_long(more.normalized(t)) if t else [])
+        assert n == (encoder.lattice.encode([more.normalized(t)])[1][0] if t else 0) and back
+    assert len(table.pieces) in encoder.encode(["the."])[0][0].tolist()
+
+
+def test_texts_that_do_not_come_back_are_told(table):
+    # No bytes to fall back to: an unknown character is decoded to another text.
+    bare = pieces.PieceTable(table.pieces, table.scores, [1 if t == 6 else t for t in table.types], pieces.BPE)
+    encoder = pieces.Encoder(bare)
+    texts = ["the house", "the 🦩 house", "🦩", "a▁b", "", "house 🦩🦩."]
+    for _ in range(2):
+        got = encoder.round_trips(texts)
+        assert [back for *_, back in got] == [True, False, False, False, True, False]
+        assert [back for *_, back in got] == [bare.decode(ids.tolist()) == t for t, (ids, _, _) in zip(texts, got, strict=True)]
+
+
+def test_merges_take_the_first_of_equal_pairs(table):
+    rng = random.Random(8)
+    parts = ["ab", "ba", "aa", "bb", "aab", "abb", "baa", "abab", "bab", "aaaa"]
+    chars = ["a", "b", "▁"]
+    own = pieces.PieceTable([*chars, *parts], [float(rng.randrange(3)) for _ in [*chars, *parts]], [1] * (len(chars) + len(parts)), pieces.BPE)
+    lattice = pieces.Lattice(own)
+    words = ["".join(rng.choice("aabc") for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    ids, counts = lattice.encode(words)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [lattice.merge_long(w) for w in words]
+    scores = {p: s for _, p, s in own.normal()}
+    assert counts == [len(best_path(w, scores, own.unknown_score(), own.max_chars)[1]) for w in words]
+
+
 def best_path(word, scores, unknown, longest):
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
