@@ -178,6 +178,13 @@ class SimilarityRecommender(Recommender):
         if self._in_blocks() and blocks.whole_ids(pairs, "user_id", "item_id"):
             pairs = cut(pairs)
             mine = self.r.join(pairs.select("user_id").distinct(), "user_id", "left_semi")
+            if len(pairs.columns) == 2:
+                # The blocks answer every pair, so no sums are joined to the pairs again.
+                bare = F.col("user_id").isNull() | F.col("item_id").isNull()
+                asked = pairs.filter(~bare).join(self.items().withColumn("known", F.lit(True)), "item_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+                answered = blocks.meetings(mine, self.tables["s"], "all", units=self.params.get("units"), pairs=asked)
+                kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in pairs.schema]
+                return answered.select(*kept, "score").unionByName(pairs.filter(bare).withColumn("score", F.lit(None).cast("double")))
             sums = cut(blocks.meetings(mine, self.tables["s"], "pairs", units=self.params.get("units"), pairs=pairs).withColumnRenamed("score", "_s"))
         else:
             history = keys.join(self.r.select("user_id", F.col("item_id").alias("_i"), "r"), "user_id")
